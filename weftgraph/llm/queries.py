@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, quality_rules
+from . import bpe, common, mixing, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).drop("clean_text").selectExpr("_doc.doc_id AS doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_mixing, op8_quality_rules)}
+    return {f.__name__: f for f in (op7_mixing, op8_quality_rules, op10_bpe)}
