@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, quality_rules
+from . import bpe, common, language, mixing, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    return language.identify(docs.select("doc_id", "text"), *model).select("_doc.doc_id", language.held_out(F.col("_doc.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.with_copies(docs).selectExpr("_doc.doc_id AS doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -32,4 +39,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_mixing, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op2_language_id, op7_mixing, op8_quality_rules, op10_bpe)}
