@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, language, minhash, mixing, quality_rules
+from . import bpe, common, language, minhash, mixing, quality_rules, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.with_copies(docs).selectExpr("_doc.doc_id AS doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -43,4 +47,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash, op7_mixing, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_winnowing, op7_mixing, op8_quality_rules, op10_bpe)}
