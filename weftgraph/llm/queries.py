@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, language, minhash, mixing, quality_rules, winnow
+from . import bpe, common, language, minhash, mixing, quality_rules, toxicity, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_read(spark, sf_dir, x) for x in ("documents", "labels"))
+    model = toxicity.learn(docs.select("doc_id", "text").filter(~toxicity.held_out(F.col("doc_id"))), labels.select("doc_id", "toxic"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.with_copies(docs).selectExpr("_doc.doc_id AS doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -47,4 +53,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_winnowing, op7_mixing, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_winnowing, op5_toxicity, op7_mixing, op8_quality_rules, op10_bpe)}
