@@ -9,11 +9,12 @@ texts that share a band are candidates, and a link needs an exact likeness of at
 texts. A text's class is its connected component over links and equal word sequences, named by its smallest key.
 
 How groups stay small: equal word sequences collapse to one representative by a map-side-combined aggregation
-before anything else. In a bucket, members are compared with a hub (the member whose bands are the most shared),
-not with each other; components are then taken, and only members that are still apart from the bucket's hub become
-hubs themselves, in rounds, and in the end all at once. So no link between different texts of a bucket is lost, while
-a group of near copies costs a comparison each. Verification deals each hub's members into salted groups of
-``GROUP`` and streams them past the hub's shingles.
+before anything else. In a bucket, members are compared with a hub (the member whose bands are the most shared), not
+with each other; components are then taken. In buckets that still hold several components, the members outside the
+hub's are dealt into blocks of ``BLOCK``; each block's shingles are held in memory while all members of the bucket are
+streamed past them, and only links that join two components leave the task. So no link between different texts of a
+bucket is lost, no pairs are written out, and a group of near copies costs a comparison each for all that are near
+its hub. Star verification deals each hub's members into salted groups of ``GROUP``.
 
 Defined results: a text without a word (or null), and a row with a null key, is a class of its own; rows that repeat
 a key share a class with each other if their words are equal, and otherwise the key gets the smaller class; an empty
@@ -36,8 +37,7 @@ from .common import BROADCAST_ROWS, table
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 21, 6
 REGISTERS = BANDS * ROWS
-GROUP = 256
-STAR_ROUNDS = 3
+GROUP, BLOCK = 256, 256
 CHUNK_BYTES = 1_500_000
 
 
@@ -168,6 +168,58 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: fl
     return sent.select("id", "hub", "salt", "part", "t").mapInArrow(run, "a bigint, hub bigint")
 
 
+def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
+    """held: (band, a, comp, main) of the open buckets -> (a, hub) links that join components, found in blocks."""
+    blocks = held.filter("comp <> main").groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = held.join(blocks, "band")
+    inside = dealt.filter("comp <> main").select(F.col("a").alias("id"), "band", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("part"), "comp")
+    past = dealt.select(F.col("a").alias("id"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "comp")
+    routes = table(inside.unionByName(past), "routes")
+    texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).filter("id IS NOT NULL")
+    sent = texts.join(_if_small(routes, routes.count()), "id").repartition("band", "block").sortWithinPartitions("band", "block", "part", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block, merged = None, [], {}
+        index: tuple | None = None
+
+        def root(x: int) -> int:
+            while merged.get(x, x) != x:
+                x = merged[x]
+            return x
+
+        for whole in batches:
+            for batch in _slices(whole, "t"):
+                _, _, (where, shingle, weight) = _elements(batch.column("t"))
+                edge = np.searchsorted(where, np.arange(batch.num_rows + 1))
+                out = []
+                for i, (ident, band, number, part, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "band", "block", "part", "comp")), strict=True)):
+                    mine = shingle[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]]
+                    if at != (band, number):
+                        at, block, merged, index = (band, number), [], {}, None
+                    if part == 0:
+                        block.append((ident, comp, mine))
+                        continue
+                    if index is None:
+                        every = np.concatenate([b[2][0] for b in block])
+                        order = np.argsort(every, kind="stable")
+                        share = np.concatenate([b[2][1] / b[2][1].sum() for b in block])[order]
+                        index = every[order], np.repeat(np.arange(len(block)), [len(b[2][0]) for b in block])[order], share
+                    # Common mass bounds the likeness from above, so only pairs that reach the threshold need it exactly.
+                    low, high = np.searchsorted(index[0], mine[0], "left"), np.searchsorted(index[0], mine[0], "right")
+                    count = high - low
+                    hit = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
+                    mass = np.bincount(index[1][hit], np.minimum(index[2][hit], np.repeat(mine[1] / mine[1].sum(), count)), len(block))
+                    for j in np.flatnonzero(mass >= threshold - 1e-9):
+                        other, its, theirs = block[j]
+                        x, y = root(comp), root(its)
+                        if x != y and likeness(mine, theirs) >= threshold:
+                            merged[max(x, y)] = min(x, y)
+                            out.append((ident, other))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "hub"])
+
+    return sent.select("id", "band", "block", "part", "comp", "t").mapInArrow(run, "a bigint, hub bigint")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "hub") -> DataFrame:
     """(id, comp) of every end of an edge: the smallest id that it reaches.
 
@@ -199,36 +251,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     central = member.groupBy("rep").agg(F.sum("size").alias("weight"))
     member = table(member.drop("size").join(central, "rep"), "members")
     best = F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")
-    label, asked = reps.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).limit(0), None
-    links = None
-    for k in range(STAR_ROUNDS + 1):
-        held = member.join(label.select(F.col("id").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        if k:
-            # Only buckets that hold several components are still open; their first hub's component needs no hub of its own.
-            mixed = held.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("weight", -F.col("rep"))).alias("main")).filter("low < high")
-            held = table(held.join(mixed.select("band", "main"), "band"), "open")
-            if held.isEmpty():
-                break
-            outside = held.filter("comp <> main")
-        else:
-            outside = held
-        hubs = outside.groupBy("band").agg(best) if k < STAR_ROUNDS else outside.select("band", F.col("rep").alias("hub"))
-        of_hub = outside.select(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")).distinct()
-        pairs = held.select("band", F.col("rep").alias("a"), "comp").join(hubs.join(of_hub, "hub"), "band").filter("a <> hub AND comp <> hub_comp").select("a", "hub")
-        pairs = pairs.select(F.least("a", "hub").alias("u"), F.greatest("a", "hub").alias("v"), "a", "hub").groupBy("u", "v").agg(F.max_by("a", "hub").alias("a"), F.max("hub").alias("hub")).select("u", "v", "a", "hub")
-        if asked is not None:
-            pairs = pairs.join(asked, ["u", "v"], "left_anti")
-        pairs = table(pairs, "pairs")
-        if pairs.isEmpty():
-            if k >= STAR_ROUNDS:
-                break
-            continue
-        asked = pairs.select("u", "v") if asked is None else asked.unionByName(pairs.select("u", "v"))
-        found = table(verify(pairs.select("a", "hub"), docs, key, text).distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            continue
-        label = components(links)
+    hubs = member.groupBy("band").agg(best, F.count("*").alias("size"))
+    of_band = table(member.join(hubs, "band").select("band", F.col("rep").alias("a"), "hub", "size"), "stars")
+    pairs = of_band.filter("a <> hub").groupBy(F.least("a", "hub").alias("u"), F.greatest("a", "hub").alias("v")).agg(F.max("hub").alias("hub"))
+    pairs = table(pairs.select(F.expr("u + v - hub").alias("a"), "hub"), "pairs")
+    links = table(verify(pairs, docs, key, text).distinct(), "links")
+    label = components(links)
+    n = label.count()
+    comp = _if_small(label, n)
+    held = of_band.filter("size > 2").join(comp, F.col("a") == F.col("id"), "left").select("band", "a", "hub", F.coalesce("comp", "a").alias("comp"))
+    open_ = table(held.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("a") == F.col("hub"), F.col("comp"))).alias("main")).filter("low < high"), "open")
+    n = open_.count()
+    if n:
+        held = held.join(_if_small(open_.select("band", "main"), n), "band")
+        more = table(block_links(held, docs, key, text).distinct(), "links")
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
     named = reps.join(label, reps.rep == label.id, "left").select("h1", "h2", F.coalesce("comp", "rep").alias("class_id"))
     joined = signed.withColumn("_in", F.expr("id IS NOT NULL AND n > 0")).alias("s").join(
         named.alias("c"), (F.col("s.h1") == F.col("c.h1")) & (F.col("s.h2") == F.col("c.h2")) & F.col("s._in"), "left")
