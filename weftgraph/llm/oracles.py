@@ -60,5 +60,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: Base32 of a SHA-1: every 5 hexadecimal digits make 4 characters.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS n, sha1(body) AS h FROM p),
+b AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda i: list_reduce(list_transform(range(4), lambda j:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[5 * i + 1 : 5 * i + 5])::BIGINT >> (5 * (3 - j))) & 31)::INT + 1]), lambda x, y: x || y)), '') AS payload_digest,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first OR first IS NULL THEN NULL ELSE first END::BIGINT AS refers_to
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _MIX, "op8_quality_rules": _QUALITY}
+    return {"op1_warc": _WARC, "op7_mixing": _MIX, "op8_quality_rules": _QUALITY}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, language, minhash, mixing, quality_rules, toxicity, winnow
+from . import bpe, common, language, minhash, mixing, quality_rules, toxicity, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, directory = warc.archive(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    common.table(directory, "directory")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
@@ -53,4 +59,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_minhash, op4_winnowing, op5_toxicity, op7_mixing, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_minhash, op4_winnowing, op5_toxicity, op7_mixing, op8_quality_rules, op10_bpe)}
