@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,18 @@ BROADCAST_ROWS = 200_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the Arrow batches, so that very long texts cannot fill a Python worker's memory."""
+    """Bounds the Arrow batches, so that very long texts cannot fill a Python worker's memory, and ships this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    context = spark.sparkContext
+    if not getattr(context, "_weft_shipped", False):
+        package = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="weft-ship-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        context._weft_shipped = True
 
 
 def scratch(spark: SparkSession) -> str:
@@ -64,3 +75,24 @@ def hash_unit(seed: str, key: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with their groups' row. Groups of over 1 / 1000 of the rows, at most 1000, go by broadcast.
+
+    groups is a written table with one row per key combination; nulls match nulls. A hot key so never meets in one task.
+    """
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns])
+        on = F.lit(True)
+        for c in keys:
+            on = on & left[c].eqNullSafe(right[f"_{c}"])
+        return left.join(right, on, how).drop(*[f"_{c}" for c in keys])
+
+    if groups.count() <= BROADCAST_ROWS:
+        return joined(rows, F.broadcast(groups), "inner")
+    hot = F.col(size) * 1000 > total
+    many, few = groups.filter(hot), groups.filter(~hot)
+    cold = joined(rows, F.broadcast(many.select(*keys)), "left_anti")
+    return joined(rows, F.broadcast(many), "inner").unionByName(joined(cold, few, "inner"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import chat
 from . import quality_rules as q
 
 _MIX = r"""
@@ -74,5 +75,32 @@ FROM b
 """
 
 
+_CHAT = rf"""
+WITH m AS (SELECT row_number() OVER () AS rid, conv_id AS c, turn, role, coalesce(text, '') AS t FROM conversations),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM m),
+p AS (
+  SELECT *, len(regexp_extract_all(regexp_extract(raw, '{chat.MARKS}', 1), '>')) AS level,
+    trim(lower(regexp_replace(raw, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS norm FROM l
+), i AS (SELECT *, level = 0 AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY k), 0) > 0 AND regexp_matches(raw, '{chat.INTRODUCES}') AS intro FROM p),
+o AS (SELECT rid, trim(string_agg(raw, chr(10) ORDER BY k), ' ') AS said FROM i WHERE level = 0 AND NOT intro GROUP BY rid),
+say AS (SELECT DISTINCT c, turn, norm FROM i JOIN m USING (rid) WHERE level = 0 AND NOT intro AND norm <> '' AND c IS NOT NULL AND turn IS NOT NULL),
+quote AS (SELECT DISTINCT rid, c, turn, level, norm FROM i JOIN m USING (rid) WHERE level > 0 AND norm <> ''),
+inside AS (SELECT c, norm, min(turn) AS here FROM say GROUP BY ALL),
+anywhere AS (SELECT norm, min((c, turn)) AS first FROM say GROUP BY norm),
+found AS (
+  SELECT q.*, here, first[1] AS fc, first[2] AS ft, coalesce(here < q.turn, false) AS near, NOT coalesce(here < q.turn, false) AND coalesce(first[1] <> q.c, false) AS far
+  FROM quote q LEFT JOIN inside USING (c, norm) LEFT JOIN anywhere USING (norm)
+), per AS (
+  SELECT rid, max(level) AS levels, count(*) AS n, count(*) FILTER (near OR far) AS n_linked, max((-level, here)) FILTER (near) AS near_to, min((level, fc, ft)) FILTER (far) AS far_to
+  FROM found GROUP BY rid
+), t AS (SELECT DISTINCT c, turn FROM m)
+SELECT m.c AS conv_id, m.turn, m.role, coalesce(levels, 0)::BIGINT AS quote_levels, coalesce(n, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  CASE WHEN near_to IS NULL AND far_to IS NOT NULL THEN far_to[2] WHEN near_to IS NOT NULL OR t.turn IS NOT NULL THEN m.c END AS reply_conv,
+  CASE WHEN near_to IS NULL AND far_to IS NOT NULL THEN far_to[3] WHEN near_to IS NOT NULL THEN near_to[2] WHEN t.turn IS NOT NULL THEN m.turn - 1 END AS reply_turn,
+  coalesce(o.said, '') AS reply_text
+FROM m LEFT JOIN o USING (rid) LEFT JOIN per USING (rid) LEFT JOIN t ON t.c = m.c AND t.turn = m.turn - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC, "op7_mixing": _MIX, "op8_quality_rules": _QUALITY}
+    return {"op1_warc": _WARC, "op7_mixing": _MIX, "op8_quality_rules": _QUALITY, "op9_chat_quotes": _CHAT}

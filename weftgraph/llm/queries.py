@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, language, minhash, mixing, quality_rules, toxicity, warc, winnow
+from . import bpe, chat, common, language, minhash, mixing, quality_prior, quality_rules, toxicity, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_quality_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source stands for its host, and its language within the source for its path."""
+    docs, labels = (_read(spark, sf_dir, x) for x in ("documents", "labels"))
+    model = quality_prior.learn(docs.select("doc_id", "text").filter(~toxicity.held_out(F.col("doc_id"))), labels.select("doc_id", "quality"))
+    return quality_prior.score(docs.select("doc_id", "text", "source", "lang"), model, F.col("source"), F.col("lang"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.with_copies(docs).selectExpr("_doc.doc_id AS doc_id", "size", "source_size", "target", "size * copies AS taken")
@@ -51,6 +58,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs).drop("clean_text").selectExpr("_doc.doc_id AS doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,4 +70,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_minhash, op4_winnowing, op5_toxicity, op7_mixing, op8_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_minhash, op4_winnowing, op5_toxicity, op6_quality_prior, op7_mixing, op8_quality_rules, op9_chat_quotes, op10_bpe)}
