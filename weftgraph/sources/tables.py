@@ -37,7 +37,7 @@ SELECT concat('region:', r_regionkey) AS id, CAST(r_regionkey + 1 AS BIGINT) AS
 UNION ALL SELECT concat('nation:', n_nationkey), CAST(n_nationkey + 1 AS BIGINT), concat('geo://', r_name, '/', n_name),
   concat('{{"unit_type": "type", "unit_id": "src/geo.zig:', n_name, '", "codebase": "', r_name, '", "file_path": "src/geo.zig"}}'), n_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT concat('customer:', c_custkey), CAST(c_custkey + 1 AS BIGINT), concat('crm://', c_mktsegment, '/', c_custkey),
-  concat('{{"unit_type": "function", "unit_id": "src/crm.zig:', n_name, ':', c_name, '", "codebase": "', r_name, '", "segment": "', c_mktsegment, '", "balance": ', CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR(20)), '}}'), concat(c_name, ' ', c_mktsegment)
+  concat('{{"unit_type": "function", "unit_id": "src/crm.zig:', n_name, ':', c_name, '", "codebase": "', r_name, '", "segment": "', c_mktsegment, '", "balance": ', CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR(20)), '}}'), concat(c_name, ' ', c_mktsegment)
   FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT concat('supplier:', s_suppkey), CAST(s_suppkey + 1 AS BIGINT), concat('crm://supplier/', s_suppkey),
   concat('{{"unit_type": "var", "unit_id": "src/supply.zig:', s_name, '", "codebase": "', r_name, '"}}'), s_name
