@@ -151,7 +151,7 @@ best AS (SELECT via, min((hit.depth, path)) AS b FROM hit JOIN first ON first.id
 FROM (SELECT id, json_extract_string(metadata_json, '$.codebase') AS ws FROM blocks) LEFT JOIN (SELECT src AS id, count(*) AS e FROM edges GROUP BY 1) USING (id) WHERE ws IS NOT NULL GROUP BY ws""",
         "latency_stats": """SELECT event_type, count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type""",
-        "formats": f"""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0::DOUBLE) ELSE printf('%.1f GB', b / 1073741824.0::DOUBLE) END AS bytes,
+        "formats": f"""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) WHEN b < 1073741824 THEN printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) ELSE printf('%.1f GB', round(b / 1073741824.0::DOUBLE, 1)) END AS bytes,
   CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN {_time(60, 'minute', 's')} WHEN s < 86400 THEN {_time(3600, 'hour', 's')} ELSE {_time(86400, 'day', 's')} END AS ago,
   CASE WHEN u < 60 THEN u || 's' WHEN u < 3600 THEN (u // 60) || 'm ' || (u % 60) || 's' WHEN u < 86400 THEN (u // 3600) || 'h ' || (u // 60 % 60) || 'm' ELSE (u // 86400) || 'd ' || (u // 3600 % 24) || 'h' END AS uptime
 FROM (SELECT doc_id, n_chars * n_chars AS b, n_chars * 7 AS s, n_chars * 11 AS u FROM documents)""",
