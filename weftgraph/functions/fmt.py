@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_MINUTE, _HOUR, _DAY = 60, 3600, 86_400
+
+
+def _whole(n: Column, unit: int) -> Column:
+    return F.floor(n / unit).cast("bigint")
+
 
 def format_bytes(n: Column) -> Column:
-    """1023 B, 1.5 KB, 2.0 MB, 3.1 GB, 4.2 TB: one decimal above bytes."""
+    """1023 B, 1.5 KB, 2.0 MB, 3.1 GB: one decimal above bytes, half up; gigabytes are the largest unit."""
     out = F.when(n < 1024, F.format_string("%d B", n.cast("bigint")))
-    for power, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / float(1024**power)))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+    scaled = lambda power, unit: F.format_string(f"%.1f {unit}", F.round(n / float(1024**power), 1))
+    return out.when(n < 1024**2, scaled(1, "KB")).when(n < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
 
 
-def format_time_ago(seconds: Column) -> Column:
-    """just now, 5 minutes ago, 1 hour ago, 3 days ago."""
-    n = lambda d: F.floor(seconds / d).cast("bigint")
+def _two(n: Column, big: int, first: str, small: int, second: str) -> Column:
+    """'1h 15m', or '1h' where the second part is zero."""
+    rest = _whole(n % big, small)
+    return F.when(rest == 0, F.format_string(f"%d{first}", _whole(n, big))).otherwise(F.format_string(f"%d{first} %d{second}", _whole(n, big), rest))
 
-    def word(d: int, unit: str) -> Column:
-        return F.when(n(d) == 1, F.lit(f"1 {unit} ago")).otherwise(F.format_string(f"%d {unit}s ago", n(d)))
 
-    return F.when(seconds < 60, "just now").when(seconds < 3600, word(60, "minute")).when(seconds < 86400, word(3600, "hour")).otherwise(word(86400, "day"))
+def format_time_ago(seconds: Column) -> Column:
+    """5s ago, 5m ago, 2h ago, 1h 15m ago, 3d ago; a negative age is 'in future'."""
+    return (
+        F.when(seconds < 0, "in future")
+        .when(seconds < _MINUTE, F.format_string("%ds ago", seconds.cast("bigint")))
+        .when(seconds < _HOUR, F.format_string("%dm ago", _whole(seconds, _MINUTE)))
+        .when(seconds < _DAY, F.concat(_two(seconds, _HOUR, "h", _MINUTE, "m"), F.lit(" ago")))
+        .otherwise(F.format_string("%dd ago", _whole(seconds, _DAY)))
+    )
 
 
 def format_uptime(seconds: Column) -> Column:
-    """45s, 3m 20s, 2h 5m, 1d 4h."""
-    part = lambda d, m: F.floor(seconds / d).cast("bigint") % m
-    big = 1 << 40
+    """45s, 3m 20s, 2h 5m, 1d 4h; a second part of zero is left out."""
     return (
-        F.when(seconds < 60, F.format_string("%ds", part(1, big)))
-        .when(seconds < 3600, F.format_string("%dm %ds", part(60, big), part(1, 60)))
-        .when(seconds < 86400, F.format_string("%dh %dm", part(3600, big), part(60, 60)))
-        .otherwise(F.format_string("%dd %dh", part(86400, big), part(3600, 24)))
+        F.when(seconds < _MINUTE, F.format_string("%ds", seconds.cast("bigint")))
+        .when(seconds < _HOUR, _two(seconds, _MINUTE, "m", 1, "s"))
+        .when(seconds < _DAY, _two(seconds, _HOUR, "h", _MINUTE, "m"))
+        .otherwise(_two(seconds, _DAY, "d", _HOUR, "h"))
     )

@@ -42,7 +42,8 @@ def workspace_statistics(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sync_status(last_sync: Column, now: int) -> Column:
-    return F.when(last_sync == 0, "never").when(F.lit(now) - last_sync <= SECONDS_FRESH, "synced").otherwise("stale")
+    """never synced, synced (within the hour) or sync needed."""
+    return F.when(last_sync == 0, "never synced").when(F.lit(now) - last_sync <= SECONDS_FRESH, "synced").otherwise("sync needed")
 
 
 def memory_pressure(used: Column, limit: Column) -> Column:

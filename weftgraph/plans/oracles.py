@@ -63,8 +63,8 @@ two(id, depth) AS (SELECT id, 0 FROM anchors UNION SELECT dst, depth + 1 FROM tw
 nodes AS (SELECT id, min(depth)::INT AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id)"""
 
 
-def _time(d: int, unit: str, x: str) -> str:
-    return f"CASE WHEN {x} // {d} = 1 THEN '1 {unit} ago' ELSE ({x} // {d}) || ' {unit}s ago' END"
+def _parts(x: str, big: int, first: str, small: int, second: str) -> str:
+    return f"({x} // {big}) || '{first}' || CASE WHEN {x} % {big} // {small} = 0 THEN '' ELSE ' ' || ({x} % {big} // {small}) || '{second}' END"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -152,8 +152,8 @@ FROM (SELECT id, json_extract_string(metadata_json, '$.codebase') AS ws FROM blo
         "latency_stats": """SELECT event_type, count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type""",
         "formats": f"""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) WHEN b < 1073741824 THEN printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) ELSE printf('%.1f GB', round(b / 1073741824.0::DOUBLE, 1)) END AS bytes,
-  CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN {_time(60, 'minute', 's')} WHEN s < 86400 THEN {_time(3600, 'hour', 's')} ELSE {_time(86400, 'day', 's')} END AS ago,
-  CASE WHEN u < 60 THEN u || 's' WHEN u < 3600 THEN (u // 60) || 'm ' || (u % 60) || 's' WHEN u < 86400 THEN (u // 3600) || 'h ' || (u // 60 % 60) || 'm' ELSE (u // 86400) || 'd ' || (u // 3600 % 24) || 'h' END AS uptime
-FROM (SELECT doc_id, n_chars * n_chars AS b, n_chars * 7 AS s, n_chars * 11 AS u FROM documents)""",
+  CASE WHEN s < 0 THEN 'in future' WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN {_parts('s', 3600, 'h', 60, 'm')} || ' ago' ELSE (s // 86400) || 'd ago' END AS ago,
+  CASE WHEN u < 60 THEN u || 's' WHEN u < 3600 THEN {_parts('u', 60, 'm', 1, 's')} WHEN u < 86400 THEN {_parts('u', 3600, 'h', 60, 'm')} ELSE {_parts('u', 86400, 'd', 3600, 'h')} END AS uptime
+FROM (SELECT doc_id, n_chars * n_chars AS b, n_chars * n_chars - 3600 AS s, n_chars * n_chars AS u FROM documents)""",
     }
     return out

@@ -415,7 +415,7 @@ def latency_stats(spark, d):
 @query
 def formats(spark, d):
     n = F.col("n_chars")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fmt.format_bytes(n * n).alias("bytes"), fmt.format_time_ago(n * 7).alias("ago"), fmt.format_uptime(n * 11).alias("uptime"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fmt.format_bytes(n * n).alias("bytes"), fmt.format_time_ago(n * n - 3600).alias("ago"), fmt.format_uptime(n * n).alias("uptime"))
 
 
 def queries() -> dict[str, Query]:
