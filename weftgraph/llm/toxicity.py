@@ -1,22 +1,23 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 Method: the gap-weighted subsequence kernel of order ``ORDER`` (decay ``DECAY`` per spanned character), normalised and
-raised to ``POWER``, compares a landmark with the pieces of a token: every run of as many characters as the landmark
-has, and of ``INSERTED`` more, that holds all of the landmark's characters (the likeness of others is 0 by definition).
-The best piece counts, so letters put between, before or after the landmark's own only lower the likeness. Punctuation
-inside a token is passed over, and a run of single-character tokens also counts as one token. The likenesses go
-through the Nyström map of the landmarks' own kernel matrix into a linear machine with squared hinge loss. A sentence
-scores as its worst token does and a text as its worst sentence does, through a logistic link fitted on the training
-texts.
-
-Training: labels are of texts, so sentences are labelled by multiple instances: all of a clean text's are clean, of
-a toxic text's those with the highest-scoring tokens are toxic, for ``ROUNDS`` rounds. Landmarks are word beginnings (or words) that
-tell toxic training texts from clean ones, taken greedily while they cover ``LEAST_TEXTS`` and ``LEAST_SHARE`` of
-the toxic texts. Toxic sentences are also learned with characters inserted into their tokens. Bounds of what the driver
-holds: ``TRAIN_TEXTS`` labelled texts of each class, drawn by a hash, of at most ``TRAIN_CHARS`` characters each.
-Scoring is one map over whole texts.
-
-Defined results: a null or empty text gets the score of a text without landmarks; rows with a null key or label are
+raised to ``POWER``, compares a landmark with the beginning of a token: its first characters, as many as the landmark
+has or ``INSERTED`` more, behind a mark for the token's edge. Beginnings that lack one of the landmark's characters have
+likeness 0 by definition; the better of the two lengths counts, so letters put before or between the landmark's own only
+lower the likeness. Punctuation inside a token is passed over, and a run of single-character tokens also counts as
+one token. The likenesses go through the Nyström map of the landmarks' own kernel matrix into a linear machine with
+squared hinge loss; tokens above 0 are hits. A text is judged by its ``TOP`` highest distinct tokens, its number of
+distinct hits and the share of its words that are hits, through a logistic link: one word that is like an insult by
+chance weighs less than several, and less in a long text.
+
+Training: labels are of texts, so sentences' tokens are labelled by multiple instances: all of a clean text's are clean,
+of a toxic text's the highest-scoring are toxic, for ``ROUNDS`` rounds. Landmarks are word beginnings (or words) that
+tell toxic training texts from clean ones beyond chance (``CHANCE`` over all candidates), taken greedily by the toxic
+texts that they cover. Toxic texts are also learned with characters inserted into their tokens. Bounds of what the driver
+holds: about ``TRAIN_CLEAN`` and ``TRAIN_TOXIC`` labelled texts of either class, drawn by a hash, of at most ``TRAIN_CHARS``
+characters each; the link allows for the classes' shares among all labels. Scoring is one map over whole texts.
+
+Defined results: a null or empty text gets the score of a text without hits; rows with a null key or label are
 not learned from; a key with both labels counts as toxic; without toxic training texts every score is 0; repeated rows
 are scored alike; an empty table gives an empty result.
 """
@@ -38,10 +39,12 @@ from . import arrays, minhash
 from .common import hash_unit, table
 
 ORDER, DECAY, POWER = 3, 0.7, 3
-SHORTEST, LONGEST, LANDMARKS = 4, 10, 96
-LEAST_TEXTS, LEAST_SHARE, PURITY = 3, 0.015, 0.95
-TRAIN_TEXTS, TRAIN_CHARS, ROUNDS, RIDGE = 1000, 8000, 3, 0.003
-INSERTED = 3
+SHORTEST, LEAST_BYTES, LONGEST, LANDMARKS = 3, 4, 10, 96
+LEAST_TEXTS, PURITY, CHANCE = 3, 0.8, 0.01
+TRAIN_CLEAN, TRAIN_TOXIC, TRAIN_CHARS, ROUNDS, RIDGE = 5000, 1500, 8000, 3, 0.003
+INSERTED, TOP = 3, 3
+#: Stands before a token's first character; texts hold none, as punctuation is passed over.
+EDGE = b"^"
 
 _BIT = np.zeros(256, np.uint64)
 _BIT[33:] = np.uint64(1) << ((np.arange(33, 256) * 37) % 64).astype(np.uint64)
@@ -54,8 +57,7 @@ class Model:
     own: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    link: np.ndarray
 
 
 def kernels(tokens: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -88,34 +90,30 @@ def padded(pieces: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
 
 
-def likenesses(data: np.ndarray, start: np.ndarray, size: np.ndarray, masks: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> np.ndarray:
-    """(tokens, landmarks) likeness of tokens that are spans of data."""
+def likenesses(data: np.ndarray, start: np.ndarray, size: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> np.ndarray:
+    """(tokens, landmarks) likeness of tokens that are spans of data. The landmarks begin with the edge mark."""
     out = np.zeros((len(start), len(landmarks)))
     if not len(start) or not landmarks:
         return out
-    needs = [np.bitwise_or.reduce(_BIT[list(x)]) for x in landmarks]
+    needs = np.array([np.bitwise_or.reduce(_BIT[list(x[len(EDGE) :])]) for x in landmarks], np.uint64)
     marks = padded(landmarks, max(map(len, landmarks)))
-    mark_size = np.array([len(x) for x in landmarks])
-    bits = _BIT[data]
+    mark_size = np.array([len(x) - len(EDGE) for x in landmarks])
+    widest = int(mark_size.max()) + INSERTED
+    # bits[j]: characters among each token's first j + 1.
+    at = start[:, None] + np.arange(widest)
+    inside = np.arange(widest) < size[:, None]
+    letters = np.where(inside, data[np.minimum(at, len(data) - 1)], 0)
+    bits = np.bitwise_or.accumulate(np.where(inside, _BIT[letters], np.uint64(0)), axis=1)
     found = []
     for k, need in enumerate(needs):
-        got = np.flatnonzero((masks & need == need) & (size >= mark_size[k]))
         for width in (mark_size[k], mark_size[k] + INSERTED):
-            # Pieces of this width, or the whole token where it is shorter.
-            count = np.maximum(1, size[got] - width + 1)
-            token = np.repeat(got, count)
-            begin = start[token] + np.arange(len(token)) - np.repeat(np.cumsum(count) - count, count)
-            length = np.minimum(size[token], width)
-            held = np.zeros(len(token), np.uint64)
-            for j in range(width):
-                held |= np.where(j < length, bits[np.minimum(begin + j, len(data) - 1)], np.uint64(0))
-            full = held & need == need
-            found.append((token[full], begin[full], length[full], np.full(int(full.sum()), k)))
-    token, begin, length, mark = (np.concatenate(x) for x in zip(*found, strict=True))
+            got = np.flatnonzero((size >= mark_size[k]) & (bits[:, width - 1] & need == need))
+            found.append((got, np.full(len(got), k), np.full(len(got), width)))
+    token, mark, width = (np.concatenate(x) for x in zip(*found, strict=True))
     for low in range(0, len(token), 20_000):
-        t, b, n, k = (x[low : low + 20_000] for x in (token, begin, length, mark))
-        at = b[:, None] + np.arange(int(n.max()))
-        piece = np.where(np.arange(at.shape[1]) < n[:, None], data[np.minimum(at, len(data) - 1)], 0)
+        t, k, w = token[low : low + 20_000], mark[low : low + 20_000], width[low : low + 20_000]
+        piece = np.where(np.arange(widest) < w[:, None], letters[t], 0)
+        piece = np.hstack((np.full((len(t), 1), EDGE[0], piece.dtype), piece))
         value = kernels(piece, marks[k]) / np.sqrt(kernels(piece, piece) * own[k])
         np.maximum.at(out, (t, k), np.minimum(1.0, value) ** POWER)
     return out
@@ -125,15 +123,16 @@ _DROP = np.zeros(256, bool)
 _DROP[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 
 
-def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, likenesses) of each distinct token of a text that is like any landmark."""
+def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct token of a text that is like any landmark: text number, likenesses, occurrences; and each text's words."""
     data, offsets = arrays.text_bytes(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     keep = ~_DROP[data]
     offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
     data = data[keep]
     start, end, of = arrays.words(data, offsets)
+    count = np.bincount(of, minlength=len(texts))
     if not len(start) or not landmarks:
-        return np.zeros(0, np.int64), np.zeros((0, len(landmarks)))
+        return np.zeros(0, np.int64), np.zeros((0, len(landmarks))), np.zeros(0, np.int64), count
     single = end - start <= 1 + (data[start] >= 0xC0)
     if len(single) > 3 and (single[3:] & single[2:-1] & single[1:-2] & single[:-3]).any():
         edge = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
@@ -144,37 +143,67 @@ def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np
         of = np.concatenate((of, [of[a] for a, _ in spans])).astype(np.int64)
         data = np.concatenate((data, np.frombuffer(b" " + b" ".join(spelled), np.uint8)))
         start, end = np.concatenate((start, first)), np.concatenate((end, first + size))
-    masks = np.bitwise_or.reduceat(_BIT[data], start)
     _, first, inverse = np.unique(arrays.word_hashes(data, start, end), return_index=True, return_inverse=True)
-    like = likenesses(data, start[first], (end - start)[first], masks[first], landmarks, own)
+    like = likenesses(data, start[first], (end - start)[first], landmarks, own)
     hit = np.flatnonzero(like.any(axis=1)[inverse])
-    pair = np.unique((of[hit] << 32) | inverse[hit])
-    return pair >> 32, like[pair & 0xFFFFFFFF]
+    pair, times = np.unique((of[hit] << 32) | inverse[hit], return_counts=True)
+    return pair >> 32, like[pair & 0xFFFFFFFF], times, count
+
+
+def evidence(of: np.ndarray, margin: np.ndarray, times: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(texts, TOP + 2): the highest margins of distinct tokens, how many are hits, and hits by the words of the text."""
+    n = len(count)
+    out = np.zeros((n, TOP + 2))
+    hit = np.flatnonzero(margin > 0)
+    of, margin, times = of[hit], margin[hit], times[hit]
+    order = np.lexsort((-margin, of))
+    of, margin, times = of[order], margin[order], times[order]
+    distinct = np.bincount(of, minlength=n)
+    place = np.arange(len(of)) - (np.cumsum(distinct) - distinct)[of]
+    best = place < TOP
+    out[of[best], place[best]] = np.minimum(margin[best], 1.0)
+    out[:, TOP] = np.log1p(distinct)
+    out[:, TOP + 1] = np.log((np.bincount(of, times, minlength=n) + 0.2) / (count + 20)) + 5
+    return out
+
+
+def _beginnings(text: str) -> set[str]:
+    return {w[:k] for w in set(re.findall(r"\w{%d,}" % SHORTEST, text.lower())) for k in range(SHORTEST, min(len(w), LONGEST) + 1) if len(w[:k].encode()) >= LEAST_BYTES}
 
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
-    """Word beginnings that cover the toxic texts and hardly any clean one."""
-    bad, good, where = Counter(), Counter(), {}
-    for i, (text, y) in enumerate(zip(texts, toxic, strict=True)):
-        found = {w[:k] for w in set(re.findall(r"\w{%d,}" % SHORTEST, text.lower())) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
-        (bad if y else good).update(found)
-    share = max(1, int((~toxic).sum())) / max(1, int(toxic.sum()))
-    able = {w for w, c in bad.items() if c >= LEAST_TEXTS and c * share >= PURITY * (c * share + good[w])}
+    """Word beginnings that cover the toxic texts and few clean ones, more clearly than the best of as many chance draws would."""
+    found = [_beginnings(t) for t in texts]
+    bad, good = Counter(), Counter()
+    for words, y in zip(found, toxic, strict=True):
+        (bad if y else good).update(words)
+    base = toxic.mean()
+    odds = (1 - base) / base
+    need = np.log(len(bad) / CHANCE)
+
+    def able(w: str) -> bool:
+        c, g = bad[w], good[w]
+        if c < LEAST_TEXTS or c * odds < PURITY * (c * odds + g):
+            return False
+        p = c / (c + g)
+        # Chernoff's bound on drawing so many toxic texts among c + g.
+        return c * np.log(p / base) + (g * np.log((1 - p) / (1 - base)) if g else 0.0) >= need
+
+    where: dict[str, set[int]] = {w: set() for w in bad if able(w)}
     for i in np.flatnonzero(toxic):
-        for w in {w[:k] for w in set(re.findall(r"\w{%d,}" % SHORTEST, texts[i].lower())) for k in range(SHORTEST, min(len(w), LONGEST) + 1)} & able:
-            where.setdefault(w, set()).add(int(i))
-    least = max(LEAST_TEXTS, LEAST_SHARE * int(toxic.sum()))
+        for w in found[i] & where.keys():
+            where[w].add(int(i))
     chosen = []
     while where and len(chosen) < LANDMARKS:
         best = max(where, key=lambda w: (len(where[w]), len(w), w))
-        if len(where[best]) < least:
+        if len(where[best]) < LEAST_TEXTS:
             break
         # A longer beginning that covers nearly the same texts is the sharper landmark.
         best = max((w for w in where if w.startswith(best) and len(where[w]) >= 0.85 * len(where[best])), key=lambda w: (len(w), len(where[w]), w))
         chosen.append(best)
         same = where[best]
-        where = {w: v for w, v in where.items() if not (w.startswith(best) or best.startswith(w) and len(v - same) < least)}
-    return [w.encode() for w in chosen]
+        where = {w: v for w, v in where.items() if not (w.startswith(best) or best.startswith(w) and len(v - same) < LEAST_TEXTS)}
+    return [EDGE + w.encode() for w in chosen]
 
 
 def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -220,12 +249,13 @@ def distinct(texts: list[str]) -> list[int]:
     return kept
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
+def fit(texts: list[str], labels: list[int], shift: float = 0.0) -> Model:
+    """shift: what a text's log odds of being toxic are among all labels beyond those in the sample."""
     kept = distinct(texts)
     texts, toxic = [texts[i] for i in kept], np.array([labels[i] for i in kept], bool)
-    landmarks = choose_landmarks(texts, toxic) if toxic.any() else []
+    landmarks = choose_landmarks(texts, toxic) if toxic.any() and not toxic.all() else []
     if not landmarks:
-        return Model([], np.ones(0), np.zeros(0), -1.0, 0.0, -50.0)
+        return Model([], np.ones(0), np.zeros(0), -1.0, np.append(np.zeros(TOP + 2), -50.0))
     width = max(map(len, landmarks))
     marks = padded(landmarks, width)
     own = kernels(marks, marks)
@@ -236,47 +266,47 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     useful = values > 1e-6
     nystrom = vectors[:, useful] / np.sqrt(values[useful])
     rng = np.random.default_rng(7)
-    names = [x.decode() for x in landmarks]
+    names = [x[len(EDGE) :].decode() for x in landmarks]
     more = [_insert(t, names, rng) for t, y in zip(texts, toxic, strict=True) if y]
-    of, like = tokens(pa.array(texts + more), landmarks, own)
+    of, like, times, count = tokens(pa.array(texts + more), landmarks, own)
     truth = np.concatenate((toxic, np.ones(len(more), bool)))
     total = len(truth)
-    score = like.max(axis=1) if len(like) else np.zeros(0)
+    margin = like.max(axis=1) if len(like) else np.zeros(0)
     weights, bias = np.zeros(n), -1.0
+    blank = max(1, total // 10)
     for k in range(ROUNDS):
         top = np.full(total, -np.inf)
-        np.maximum.at(top, of, score)
-        witness = score >= np.minimum(top[of], np.inf if k == 0 else 0.0) - 1e-9
+        np.maximum.at(top, of, margin)
+        witness = margin >= np.minimum(top[of], np.inf if k == 0 else 0.0) - 1e-9
         use = ~truth[of] | witness
-        x = np.vstack((like[use] @ nystrom, np.zeros((max(1, total // 10), nystrom.shape[1]))))
-        y = np.concatenate((np.where(truth[of[use]], 1.0, -1.0), -np.ones(max(1, total // 10))))
+        x = np.vstack((like[use] @ nystrom, np.zeros((blank, nystrom.shape[1]))))
+        y = np.concatenate((np.where(truth[of[use]], 1.0, -1.0), -np.ones(blank)))
         w, bias = _machine(x, y)
         weights = nystrom @ w
-        score = like @ weights + bias
-    worst = np.full(total, bias)
-    np.maximum.at(worst, of, score)
-    slope, offset = _logistic(worst, truth)
-    return Model(landmarks, own, weights, bias, slope, offset)
+        margin = like @ weights + bias
+    link = _logistic(evidence(of, margin, times, count), truth)
+    link[-1] += shift
+    return Model(landmarks, own, weights, bias, link)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's link with his smoothed targets."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (offset last) of a logistic link with Platt's smoothed targets."""
     target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    z, w = np.stack((x, np.ones(len(x))), 1), np.zeros(2)
+    z, w = np.hstack((x, np.ones((len(x), 1)))), np.zeros(x.shape[1] + 1)
+    ridge = np.append(np.full(x.shape[1], 0.1), 1e-3)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (p - target) + 1e-3 * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - target) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def score_batch(texts: pa.Array, model: Model) -> np.ndarray:
-    worst = np.full(len(texts), model.bias)
-    of, like = tokens(texts, model.landmarks, model.own)
-    np.maximum.at(worst, of, like @ model.weights + model.bias)
-    return 1 / (1 + np.exp(-np.clip(model.slope * worst + model.offset, -50, 50)))
+    of, like, times, count = tokens(texts, model.landmarks, model.own)
+    x = evidence(of, like @ model.weights + model.bias, times, count)
+    return 1 / (1 + np.exp(-np.clip(x @ model.link[:-1] + model.link[-1], -50, 50)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -284,11 +314,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
     marked = table(marked, "toxic-labels")
     count = {r.y: r.n for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("y") == 1, F.lit(TRAIN_TEXTS / max(1, count.get(1, 0)))).otherwise(F.lit(TRAIN_TEXTS / max(1, count.get(0, 0))))
-    drawn = marked.filter(hash_unit("toxic", F.col("k")) < share)  # about TRAIN_TEXTS rows of each class: safe to broadcast
+    shares = {y: min(1.0, most / max(1, count.get(y, 0))) for y, most in ((0, TRAIN_CLEAN), (1, TRAIN_TOXIC))}
+    share = F.when(F.col("y") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
+    drawn = marked.filter(hash_unit("toxic", F.col("k")) < share)  # about TRAIN_CLEAN + TRAIN_TOXIC rows: safe to broadcast
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.char_length("t") <= TRAIN_CHARS)
     sample = sorted(rows.join(F.broadcast(drawn), "k").select("k", "t", "y").collect())
-    return fit([r.t for r in sample], [r.y for r in sample])
+    return fit([r.t for r in sample], [r.y for r in sample], float(np.log(shares[0] / shares[1])))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
