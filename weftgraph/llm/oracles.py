@@ -88,7 +88,7 @@ quote AS (SELECT DISTINCT rid, c, turn, level, norm FROM i JOIN m USING (rid) WH
 inside AS (SELECT c, norm, min(turn) AS here FROM say GROUP BY ALL),
 anywhere AS (SELECT norm, min((c, turn)) AS first FROM say GROUP BY norm),
 found AS (
-  SELECT q.*, here, first[1] AS fc, first[2] AS ft, coalesce(here < q.turn, false) AS near, NOT coalesce(here < q.turn, false) AND coalesce(first[1] <> q.c, false) AS far
+  SELECT q.*, here, first[1] AS fc, first[2] AS ft, coalesce(here < q.turn, false) AS near, NOT coalesce(here < q.turn, false) AND q.turn IS NOT NULL AND coalesce(first[1] <> q.c, false) AS far
   FROM quote q LEFT JOIN inside USING (c, norm) LEFT JOIN anywhere USING (norm)
 ), per AS (
   SELECT rid, max(level) AS levels, count(*) AS n, count(*) FILTER (near OR far) AS n_linked, max((-level, here)) FILTER (near) AS near_to, min((level, fc, ft)) FILTER (far) AS far_to
