@@ -47,7 +47,8 @@ def features(texts: pa.Array) -> np.ndarray:
     hashes = arrays.word_hashes(data, start, end)
     made, where = arrays.runs(hashes, of, n, 3)
     whose, _, times = arrays.weighted(made, where)
-    repeated = 1 - np.bincount(whose, minlength=n) / np.maximum(1, np.bincount(whose, times, minlength=n))
+    total = np.bincount(whose, times, minlength=n)
+    repeated = (total - np.bincount(whose, minlength=n)) / np.maximum(1, total)
     lines = pc.split_pattern(texts, "\n")
     flat, parent = lines.flatten(), np.repeat(np.arange(n), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
     ldata, loffsets = arrays.text_bytes(flat)
@@ -55,7 +56,7 @@ def features(texts: pa.Array) -> np.ndarray:
     code = arrays.mixed(arrays.word_hashes(ldata, loffsets[:-1][full], loffsets[1:][full]) ^ arrays.mixed(parent[full].astype(np.uint64)))
     _, first = np.unique(code, return_index=True)
     line_count = np.bincount(parent[full], minlength=n)
-    again = 1 - np.bincount(parent[full][first], minlength=n) / np.maximum(1, line_count)
+    again = (line_count - np.bincount(parent[full][first], minlength=n)) / np.maximum(1, line_count)
     mean = np.bincount(of, end - start, minlength=n) / np.maximum(1, count)
     spread = np.sqrt(np.maximum(0, np.bincount(of, (end - start) ** 2.0, minlength=n) / np.maximum(1, count) - mean**2))
     return np.stack([np.minimum(1, np.sqrt(k)) for k in kinds] + [repeated, again, np.log1p(mean), np.log1p(spread), np.log1p(count)], axis=1)
