@@ -67,6 +67,48 @@ def _parts(x: str, big: int, first: str, small: int, second: str) -> str:
     return f"({x} // {big}) || '{first}' || CASE WHEN {x} % {big} // {small} = 0 THEN '' ELSE ' ' || ({x} % {big} // {small}) || '{second}' END"
 
 
+_EDGES_OF = """(SELECT concat('src/customer/', c_custkey, '.zig:customer_', c_custkey) AS caller, 'calls' AS edge_type, concat('src/nation/', c_nationkey, '.zig:nation_', c_nationkey) AS callee FROM customer
+UNION ALL SELECT concat('src/nation/', n_nationkey, '.zig:nation_', n_nationkey), 'calls_method', concat('src/region/', n_regionkey, '.zig:region_', n_regionkey) FROM nation
+UNION ALL SELECT concat('src/region/', r_regionkey, '.zig:Region.name'), 'method_of', concat('src/region/', (SELECT max(r_regionkey::VARCHAR) FROM region), '.zig:Region') FROM region)"""
+#: path, unit, kind, parent, first and last line, edges, content without the file's other units.
+_UNITS_OF = """u(path, unit, kind, parent, line_start, line_end, n_edges, content) AS (
+SELECT concat('src/customer/', c_custkey, '.zig'), concat('customer_', c_custkey), 'function', NULL, 1, 4, 2, concat('pub fn customer_', c_custkey, '() void {', chr(10), '    nation_', c_nationkey, '();', chr(10), '    ledger.post("{", ', c_custkey, ');', chr(10), '}') FROM customer
+UNION ALL SELECT concat('src/nation/', n_nationkey, '.zig'), 'region', 'import', NULL, 1, 1, 0, 'const region = @import("region.zig")' FROM nation
+UNION ALL SELECT concat('src/nation/', n_nationkey, '.zig'), concat('nation_', n_nationkey), 'function', NULL, 2, 4, 1, concat('pub fn nation_', n_nationkey, '() void {', chr(10), '    region.region_', n_regionkey, '();', chr(10), '}') FROM nation
+UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'), 'Region', 'type', NULL, 1, 3, 0, concat('pub const Region = struct {', chr(10), '    pub fn name() void {}', chr(10), '}') FROM region
+UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'), 'Region.name', 'function', 'Region', 2, 2, 1, 'pub fn name() void {}' FROM region
+UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'), concat('region_', r_regionkey), 'function', NULL, 4, 6, 0, concat('pub fn region_', r_regionkey, '() void {', chr(10), '    // ', r_name, chr(10), '}') FROM region)"""
+
+
+def _ingestion() -> dict[str, str]:
+    doc = _with(None, "documents")
+    lines = "len(content) - len(replace(content, chr(10), '')) + 1"
+    info = _with(None, "units", "i AS (SELECT id, source_uri AS uri, content AS preview, strlen(metadata_json)::BIGINT AS metadata_size FROM blocks)")
+    return {
+        "ingest_units": f"WITH {_UNITS_OF} SELECT path, unit, kind, parent, line_start::INT AS line_start, line_end::INT AS line_end, n_edges::INT AS n_edges FROM u",
+        "ingest_blocks": f"WITH {_UNITS_OF} SELECT sha256('w' || chr(31) || path || ':' || unit || chr(31) || line_start)[1:32] AS id, concat('file://', path, '#L', line_start, '-', line_end) AS source_uri, path || ':' || unit AS unit_id, content FROM u",
+        "ingest_edges": f"SELECT caller, edge_type, callee FROM {_EDGES_OF}",
+        "ingest_unresolved": "SELECT 'calls_method' AS edge_type, 'post' AS target, count(*) AS n FROM customer",
+        "ingest_texts": f"""WITH f AS ({t.oracle(t.TEXTS)}) SELECT sha256('w' || chr(31) || path || ':document' || chr(31) || '1')[1:32] AS id, concat('file://', path, '#L1-', {lines}) AS source_uri,
+  CASE WHEN ends_with(path, '.md') THEN 'text/markdown' ELSE 'text/plain' END AS content_type, strlen(content)::BIGINT AS bytes FROM f""",
+        "validate_blocks": f"""WITH f AS ({t.oracle(t.FAULTY)}) SELECT event_id, array_to_string(list_filter([CASE WHEN id = '' THEN 'id' END, CASE WHEN sequence <= 0 THEN 'sequence' END, CASE WHEN source_uri = '' THEN 'uri_empty' END,
+  CASE WHEN NOT json_valid(metadata_json) THEN 'metadata_json' END, CASE WHEN content = '' THEN 'content_empty' END], lambda x: x IS NOT NULL), ',') AS errors FROM f""",
+        "put_sequences": _V + f", docs AS ({t.oracle(t.BLOCKS['documents'])}) SELECT id, (greatest((SELECT max(sequence) FROM b), (SELECT max(sequence) FROM tomb)) + row_number() OVER (ORDER BY sequence))::BIGINT AS sequence FROM docs WHERE content <> ''",
+        "delete_then_current": _V + f"SELECT id, sequence, source_uri FROM live WHERE id NOT IN {q.IDS[:2]}",
+        "replay_blocks": _V + "SELECT id, sequence, source_uri FROM live",
+        "replay_edges": _V + _LIVE_UE,
+        "model_text": doc + f""", s AS (SELECT *, (({' + '.join(f"contains(content, '{w}')::INT" for w in q.MIXED.split(' '))})::FLOAT / {len(q.MIXED.split(' '))}::FLOAT)::FLOAT AS s FROM blocks),
+o AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS ord FROM s WHERE s >= 0.6::FLOAT)
+SELECT ord::INT AS ord, concat_ws(chr(10), '--- BEGIN CONTEXT BLOCK ---', concat('Block ', ord, ' (ID: ', id, ', Similarity: ', printf('%.3f', s::DOUBLE), '):'), concat('Source: ', source_uri), concat('Sequence: ', sequence),
+  concat('Metadata: ', metadata_json), concat('Content: ', content), '--- END CONTEXT BLOCK ---') AS text FROM o WHERE ord <= 100""",
+        "json_lines": info + "SELECT to_json({'id': id, 'uri': uri, 'preview': preview, 'metadata_size': metadata_size})::VARCHAR AS line FROM i",
+        "csv_lines": info + """SELECT concat(id, ',"', replace(uri, '"', '""'), '","', replace(preview, '"', '""'), '",', metadata_size) AS line FROM i""",
+        "workspace_status": _with("trade", "units") + """SELECT ws AS codebase, printf('%.1f ' || CASE WHEN x < 1048576 THEN 'KB' WHEN x < 1073741824 THEN 'MB' ELSE 'GB' END, round(x / CASE WHEN x < 1048576 THEN 1024.0::DOUBLE WHEN x < 1073741824 THEN 1048576.0::DOUBLE ELSE 1073741824.0::DOUBLE END, 1)) AS size,
+  CASE WHEN n = 0 THEN 'never synced' WHEN 3700 - n <= 3600 THEN 'synced' ELSE 'sync needed' END AS status
+FROM (SELECT ws, count(*) AS n, count(*) * 2048 + coalesce(sum(e), 0) * 64 AS x FROM (SELECT id, json_extract_string(metadata_json, '$.codebase') AS ws FROM blocks) LEFT JOIN (SELECT src AS id, count(*) AS e FROM edges GROUP BY 1) USING (id) WHERE ws IS NOT NULL GROUP BY ws)""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     doc, ev = _with(None, "documents"), _with(None, "events")
     lang = "json_extract_string(metadata_json, '$.lang')"
@@ -156,4 +198,4 @@ FROM (SELECT id, json_extract_string(metadata_json, '$.codebase') AS ws FROM blo
   CASE WHEN u < 60 THEN u || 's' WHEN u < 3600 THEN {_parts('u', 60, 'm', 1, 's')} WHEN u < 86400 THEN {_parts('u', 3600, 'h', 60, 'm')} ELSE {_parts('u', 86400, 'd', 3600, 'h')} END AS uptime
 FROM (SELECT doc_id, n_chars * n_chars AS b, n_chars * n_chars - 3600 AS s, n_chars * n_chars AS u FROM documents)""",
     }
-    return out
+    return out | _ingestion()

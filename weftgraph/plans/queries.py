@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model
-from weftgraph.functions import fmt
+from weftgraph.functions import fmt, render
 from weftgraph.operators import context, filters, search, stats, store, traversal
 from weftgraph.operators.filters import Condition, Logic, Operator, Target, Tree
+from weftgraph.session import shared_folder, table
+from weftgraph.sources import ingest
 from weftgraph.sources import tables as t
+from weftgraph.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -418,5 +422,104 @@ def formats(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", fmt.format_bytes(n * n).alias("bytes"), fmt.format_time_ago(n * n - 3600).alias("ago"), fmt.format_uptime(n * n).alias("uptime"))
 
 
+# Ingestion, validation, replay, rendering.
+def _units(spark, d) -> DataFrame:
+    return ingest.units(t.rows(spark, d, t.FILES))
+
+
+@query
+def ingest_units(spark, d):
+    return _units(spark, d).select("path", "unit", "kind", "parent", "line_start", "line_end", F.size("edges").alias("n_edges"))
+
+
+@query
+def ingest_blocks(spark, d):
+    return ingest.unit_blocks(_units(spark, d), "w").select("id", "source_uri", F.get_json_object("metadata_json", "$.unit_id").alias("unit_id"), "content")
+
+
+def _resolved(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    units = table(_units(spark, d), "units")
+    return units.select(ingest.unit_key("w").alias("id"), F.concat_ws(":", "path", "unit").alias("name")), *ingest.resolve(units, "w")
+
+
+@query
+def ingest_edges(spark, d):
+    """Resolved edges by unit name."""
+    names, edges, _ = _resolved(spark, d)
+    named = edges.join(names.select(F.col("id").alias("src"), F.col("name").alias("caller")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("callee")), "dst")
+    return named.select("caller", "edge_type", "callee")
+
+
+@query
+def ingest_unresolved(spark, d):
+    return _resolved(spark, d)[2].groupBy("edge_type", "target").agg(F.count("*").alias("n"))
+
+
+@query
+def ingest_texts(spark, d):
+    return ingest.text_blocks(t.rows(spark, d, t.TEXTS), "w").select("id", "source_uri", F.get_json_object("metadata_json", "$.content_type").alias("content_type"), F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query
+def validate_blocks(spark, d):
+    checked = t.rows(spark, d, t.FAULTY).withColumn("errors", model.block_errors())
+    return checked.select("event_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def put_sequences(spark, d):
+    """All documents put behind the versions held: fresh sequences in the order of ord."""
+    new = t.blocks(spark, d, "documents").withColumn("ord", F.col("sequence")).filter("content <> ''").withColumn("metadata_json", F.lit("{}"))
+    log, _ = store.put_blocks(t.blocks(spark, d, "versions"), t.tombstones(spark, d), new)
+    return log.filter(F.col("id").startswith("doc:")).select("id", "sequence")
+
+
+@query
+def delete_then_current(spark, d):
+    gone = store.delete(t.tombstones(spark, d), t.blocks(spark, d, "versions"), list(IDS[:2]), NOW_US)
+    return _row(store.current(t.blocks(spark, d, "versions"), gone))
+
+
+def _replayed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The change log, written as a folder of files, through the stream into tables."""
+    where = f"{shared_folder(spark)}/weft-replay-{uuid.uuid4().hex}"
+    t.rows(spark, d, t.LOG).write.parquet(f"{where}/log")
+    replay.replay(spark, f"{where}/log", f"{where}/tables", f"{where}/checkpoint").awaitTermination()
+    return replay.tables(spark, f"{where}/tables")
+
+
+@query
+def replay_blocks(spark, d):
+    return _row(_replayed(spark, d)[0])
+
+
+@query
+def replay_edges(spark, d):
+    return _replayed(spark, d)[2]
+
+
+@query
+def model_text(spark, d):
+    """The best 100 of a keyword search as text for a model: the limit is the feature."""
+    return render.model_text(search.keywords(t.blocks(spark, d, "documents"), MIXED, 0.6), "similarity")
+
+
+@query
+def json_lines(spark, d):
+    return render.json_lines(store.block_info(t.blocks(spark, d, "units")))
+
+
+@query
+def csv_lines(spark, d):
+    return render.csv_lines(store.block_info(t.blocks(spark, d, "units")))
+
+
+@query
+def workspace_status(spark, d):
+    """Per workspace: estimated size and how fresh it is, with the block count standing for the last synchronisation."""
+    per = stats.workspace_statistics(t.blocks(spark, d, "units"), t.edges(spark, d, "trade"))
+    return per.select("codebase", fmt.format_bytes(F.col("estimated_bytes")).alias("size"), stats.sync_status(F.col("block_count"), 3700).alias("status"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session: Python code that runs there imports it by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_weft_shipped", False):
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="weft-ship-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        context._weft_shipped = True
+
+
 def table(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, survives lost executors, and has a known size."""
     path = f"{shared_folder(df.sparkSession)}/weft-{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph import model
+from weftgraph.session import ship
 from weftgraph.sources import zig_units
 
 #: File endings that are taken when no pattern is given (fixed values).
@@ -65,6 +66,7 @@ def text_blocks(texts: DataFrame, workspace: str) -> DataFrame:
 
 def units(sources: DataFrame, functions: bool = True, types: bool = True, tests: bool = True, variables: bool = True, imports: bool = True) -> DataFrame:
     """Units of Zig files (path, content); other files give none. The switches leave kinds out."""
+    ship(sources.sparkSession)
     kept = {k for k, on in (("function", functions), ("type", types), ("test", tests), ("const", variables), ("var", variables), ("import", imports)) if on}
     edge = pa.list_(pa.struct([("edge_type", pa.string()), ("target", pa.string()), ("caller_container", pa.string())]))
     names = [x.split()[0] for x in UNITS.split(", ")]

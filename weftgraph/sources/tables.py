@@ -58,6 +58,30 @@ SELECT concat('turn:', conv_id, ':', turn) AS id, turn + 1 AS sequence, concat('
 
 TOMBSTONES = "SELECT concat('user:', user_id) AS id, event_id + 1 AS sequence, (event_id + 1) * 1000000 AS deletion_ts_us FROM {events} WHERE event_type = 'error'"
 
+#: Source files (path, content) that say in code what the tables say: customers call their nation, nations their region.
+FILES = """
+SELECT concat('src/customer/', c_custkey, '.zig') AS path,
+  concat('pub fn customer_', c_custkey, '() void {{', chr(10), '    nation_', c_nationkey, '();', chr(10), '    ledger.post("{{", ', c_custkey, ');', chr(10), '}}', chr(10)) AS content FROM {customer}
+UNION ALL SELECT concat('src/nation/', n_nationkey, '.zig'),
+  concat('const region = @import("region.zig");', chr(10), 'pub fn nation_', n_nationkey, '() void {{', chr(10), '    region.region_', n_regionkey, '();', chr(10), '}}', chr(10)) FROM {nation}
+UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'),
+  concat('pub const Region = struct {{', chr(10), '    pub fn name() void {{}}', chr(10), '}};', chr(10), 'pub fn region_', r_regionkey, '() void {{', chr(10), '    // ', r_name, chr(10), '}}', chr(10)) FROM {region}"""
+
+TEXTS = "SELECT concat('docs/', doc_id, CASE WHEN lang = 'en' THEN '.md' ELSE '.txt' END) AS path, text AS content FROM {documents}"
+
+#: The same change log as VERSIONS and TOMBSTONES, and edges between users who act one after another, as rows of one log.
+LOG = """
+SELECT 'put' AS kind, concat('user:', user_id) AS id, event_id + 1 AS sequence, concat('event://', event_type) AS source_uri, props AS metadata_json, event_type AS content,
+  CAST(NULL AS BIGINT) AS deletion_ts_us, CAST(NULL AS VARCHAR(10)) AS dst, CAST(NULL AS VARCHAR(10)) AS edge_type FROM {events} WHERE event_type <> 'error'
+UNION ALL SELECT 'delete', concat('user:', user_id), event_id + 1, NULL, NULL, NULL, (event_id + 1) * 1000000, NULL, NULL FROM {events} WHERE event_type = 'error'
+UNION ALL SELECT 'edge', concat('user:', user_id), NULL, NULL, NULL, NULL, NULL, concat('user:', nxt), 'calls' FROM (
+  SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM {events}) AS e WHERE nxt IS NOT NULL"""
+
+#: Blocks of which many break a write rule.
+FAULTY = """
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('event:', event_id) END AS id, event_id % 5 AS sequence, CASE WHEN event_type = 'view' THEN '' ELSE 'u' END AS source_uri,
+  CASE WHEN event_id % 3 = 0 THEN '{{bad' ELSE props END AS metadata_json, CASE WHEN event_type = 'click' THEN '' ELSE event_type END AS content FROM {events}"""
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
 
@@ -71,6 +95,11 @@ def edges(spark: SparkSession, sf_dir: str, graph: str) -> DataFrame:
     return table(_run(spark, sf_dir, GRAPHS[graph]), "edges")
 
 
+def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Any of the other views."""
+    return _run(spark, sf_dir, sql)
+
+
 def blocks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return _run(spark, sf_dir, BLOCKS[kind])
 
