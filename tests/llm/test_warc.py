@@ -87,10 +87,19 @@ def test_index_finds_every_capture(spark, monkeypatch):
             headers, body = warc.parse(record)
             assert headers["warc-record-id"] == f"<urn:page:{k}>" and headers["warc-type"] == kind
             assert body.decode() == (next(b for i, _, b in rows if i == k) if kind == "response" else "")
+    stored = common.table(directory, "directory")
+    for url in ("http://hot.example.com/", "http://h3.example.com/p3", "http://none.example.com/"):
+        assert sorted(warc.lookup_in(stored, url), key=repr) == sorted(index.lookup(url), key=repr)
     assert index.lookup("http://none.example.com/") == [] and index.lookup("http://aaa.zzz/") == [] and warc.Directory([]).lookup("http://x/") == []
     assert records.count() == len(rows)
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    warc.write(pages(spark, [(k, "http://x/", f"{k:04}" * 1000) for k in range(60)]).coalesce(1), str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("part-*"))) == 6
+
+
 def test_empty_table(spark):
     records, directory = warc.archive(pages(spark, ROWS).limit(0))
     assert records.count() == 0 and directory.count() == 0 and common.scratch(spark)

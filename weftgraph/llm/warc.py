@@ -5,8 +5,9 @@ covers lost and repeated tasks. Of records with equal payloads of at least ``MIN
 smallest page id is a response and the others are revisits of it, without a payload. Archives are read back as bytes
 and parsed by member and Content-Length. The capture index sorts (reversed-host URL key, timestamp, page id) lines
 globally, cuts them into blocks of ``BLOCK_LINES``, compresses each block, and keeps a sparse directory: the first key
-of each block with its file, offset and length. ``lookup`` binary-searches the directory, range-reads blocks, and
-range-reads records.
+of each block with its file, offset and length. ``Directory.lookup`` binary-searches the directory in memory, range-reads
+blocks, and range-reads records; ``lookup_in`` does so with a directory that is too large for the driver, by filters that
+prune its sorted Parquet files.
 
 A text line ends in a separator, and gzip members must follow each other without a gap; a member's last byte is the
 high byte of its length modulo 2 ** 32, which is 0 below 16 MiB, so that byte is cut and written back as the separator.
@@ -35,7 +36,8 @@ from .common import BROADCAST_ROWS, scratch_path, table
 
 MIN_REVISIT_BYTES = 0
 BLOCK_LINES = 512
-FILE_RECORDS = 5000
+#: Bounds of one archive file, which a task reads whole: records, and payload bytes by their mean.
+FILE_RECORDS, FILE_BYTES = 5000, 96 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: A payload digest held by more than this share of the records is joined by broadcast: at most 1 / share of them.
 HOT_SHARE = 0.001
@@ -106,22 +108,25 @@ def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         yield held
 
 
-def verdicts(pages: DataFrame, key: str, payload: str) -> DataFrame:
-    """(page_id, digest, first) of the rows that revisit: their payload's smallest page id is another."""
+def verdicts(pages: DataFrame, key: str, payload: str) -> tuple[DataFrame, float]:
+    """(page_id, digest, first) of the rows that revisit, their payload's smallest page id being another; mean payload bytes."""
     raw = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.sha1(raw).alias("d"), F.octet_length(raw).alias("n"))
-    rows = table(rows.filter(F.col("n") >= MIN_REVISIT_BYTES).select("id", "d").distinct(), "digests")
+    rows = table(rows.distinct(), "digests")
+    mean = rows.agg(F.avg("n")).first()[0] or 1.0
+    rows = rows.filter(F.col("n") >= MIN_REVISIT_BYTES)
     groups = table(rows.groupBy("d").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter("c > 1"), "payloads")
     hot = F.col("c") > HOT_SHARE * rows.count()
     many, few = groups.filter(hot), groups.filter(~hot)
     cold = rows.join(F.broadcast(many.select("d")), "d", "left_anti")
     out = rows.join(F.broadcast(many), "d").unionByName(cold.join(few, "d"))
-    return out.filter("id IS NULL OR id <> first").filter("first IS NOT NULL").select("id", "d", "first")
+    return out.filter("id IS NULL OR id <> first").filter("first IS NOT NULL").select("id", "d", "first"), mean
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Writes the archives as gzip WARC files of at most FILE_RECORDS records under path."""
-    again = table(verdicts(pages, key, payload), "revisits")
+    """Writes the archives as gzip WARC files under path, of at most FILE_RECORDS records and about FILE_BYTES."""
+    again, mean = verdicts(pages, key, payload)
+    again = table(again, "revisits")
     n = again.count()
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b"")).alias("body"))
     rows = rows.withColumn("d", F.sha1("body")).alias("p")
@@ -134,7 +139,8 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     records = joined.mapInArrow(compose, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    most = max(1, min(FILE_RECORDS, int(FILE_BYTES / max(1.0, mean))))
+    records.write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
 def read(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
@@ -222,6 +228,19 @@ def range_read(file: str, offset: int, length: int) -> bytes:
         return f.read(length)
 
 
+def _captures(blocks: list[tuple[str, int, int]], key: str) -> list[tuple[int | None, str, bytes]]:
+    """(page id, record type, record) of the key's captures in the blocks (file, offset, length), by range reads."""
+    found = []
+    for file, offset, length in blocks:
+        block = zlib.decompressobj(31).decompress(range_read(file, offset, length)).decode()
+        for line in block.split("\n"):
+            k, ident, kind, name, at, size = line.split("\t")
+            if k == key:
+                data = range_read(name, int(at), int(size))
+                found.append((int(ident) if ident else None, kind, next(members(data))[2]))
+    return found
+
+
 class Directory:
     """The sparse directory of an index in memory: one entry per block of BLOCK_LINES captures."""
 
@@ -234,15 +253,15 @@ class Directory:
         key = surt(url)
         # Captures of one key may begin in the block before the first that starts with it.
         low, high = max(0, bisect.bisect_left(self.firsts, key) - 1), bisect.bisect_right(self.firsts, key)
-        found = []
-        for _, file, offset, length in self.rows[low:high]:
-            block = zlib.decompressobj(31).decompress(range_read(file, offset, length)).decode()
-            for line in block.split("\n"):
-                k, ident, kind, name, at, size = line.split("\t")
-                if k == key:
-                    data = range_read(name, int(at), int(size))
-                    found.append((int(ident) if ident else None, kind, next(members(data))[2]))
-        return found
+        return _captures([r[1:] for r in self.rows[low:high]], key)
+
+
+def lookup_in(directory: DataFrame, url: str) -> list[tuple[int | None, str, bytes]]:
+    """As Directory.lookup, over a written directory of any size: only the blocks that can hold the URL reach the driver."""
+    key = surt(url)
+    before = directory.filter(F.col("first") < key).orderBy(F.desc("first"), F.desc("file"), F.desc("offset")).limit(1)
+    rows = before.unionByName(directory.filter(F.col("first") == key)).select("file", "offset", "length").collect()
+    return _captures([tuple(r) for r in rows], key)
 
 
 def archive(pages: DataFrame, index: bool = True) -> tuple[DataFrame, DataFrame | None]:
