@@ -70,6 +70,16 @@ def test_mixing_nears_its_targets(spark):
     assert words == sum(r.taken for r in rows)
 
 
+def test_mixing_many_sources(spark, sf, monkeypatch):
+    """Beyond the broadcast bound, hot sources are broadcast and the rest shuffled, with the same result."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = "_doc.doc_id", "size", "target", "copies"
+    want = sorted(map(repr, mixing.with_copies(docs).select(*columns).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, mixing.with_copies(docs).select(*columns).collect())) == want
+
+
 def test_rates(spark):
     """Weights 3, 1, 2 repeat in source order, null last; capped sources pass their excess on."""
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 50), ("d", 0)], "source string, source_size long")

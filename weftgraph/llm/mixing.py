@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, hash_unit, table, word_count
+from .common import BROADCAST_ROWS, hash_unit, join_groups, table, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -65,10 +65,12 @@ def with_copies(docs: DataFrame, text: str = "text", source: str = "source", key
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     sized = held.select("_doc", F.col(f"_doc.`{source}`").cast("string").alias("_source"), word_count(F.col(f"_doc.`{text}`")).alias("size"))
     sums = table(sized.groupBy("_source").agg(F.sum("size").alias("source_size")).withColumnRenamed("_source", "source"), "mix-sizes")
-    n = sums.count()
-    rate = rates(sums).withColumnRenamed("source", "_of")
-    rate = F.broadcast(rate) if n <= BROADCAST_ROWS else rate
-    joined = sized.join(rate, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    rate = rates(sums).withColumnRenamed("source", "_source")
+    if sums.count() <= BROADCAST_ROWS:
+        rate = F.broadcast(rate.withColumnRenamed("_source", "_of"))
+        joined = sized.join(rate, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    else:
+        joined = join_groups(sized, table(rate, "mix-rates"), ["_source"], "source_size", sums.agg(F.sum("source_size")).first()[0])
     whole = F.floor("rate")
     more = F.when(hash_unit(seed, F.col(f"_doc.`{key}`")) < F.col("rate") - whole, 1).otherwise(0)
     return joined.select("_doc", "size", "source_size", "target", (whole + more).cast("bigint").alias("copies"))
