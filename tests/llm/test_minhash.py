@@ -72,8 +72,10 @@ def test_groups_of_copies_and_chains(spark):
     assert all(got[k] == 0 for k in range(700)) and all(got[1000 + k] == 1000 + k for k in range(50))
 
 
-def test_open_buckets_lose_no_link(spark):
+@pytest.mark.parametrize("words", [2_000_000, 1500])
+def test_open_buckets_lose_no_link(spark, monkeypatch, words):
     """Texts of one bucket that are like each other but not like its hub."""
+    monkeypatch.setattr(minhash, "BLOCK_WORDS", words)
     rng = random.Random(2)
     texts = {}
     for g in range(6):
@@ -82,7 +84,7 @@ def test_open_buckets_lose_no_link(spark):
             other = list(base)
             other[rng.randrange(120)] = f"y{g}{k}"
             texts[100 * g + k] = " ".join(other)
-    held = spark.createDataFrame([(7, k, k, 0) for k in texts], "band long, a long, comp long, main long")
+    held = spark.createDataFrame([(7, k, k, 0, 120) for k in texts], "band long, a long, comp long, main long, words long")
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     links = [(r.a, r.hub) for r in minhash.block_links(held, docs, "doc_id", "text").collect()]
     root = {k: k for k in texts}

@@ -11,7 +11,7 @@ texts. A text's class is its connected component over links and equal word seque
 How groups stay small: equal word sequences collapse to one representative by a map-side-combined aggregation
 before anything else. In a bucket, members are compared with a hub (the member whose bands are the most shared), not
 with each other; components are then taken. In buckets that still hold several components, the members outside the
-hub's are dealt into blocks of ``BLOCK``; each block's shingles are held in memory while all members of the bucket are
+hub's are dealt into blocks of about ``BLOCK`` texts and ``BLOCK_WORDS`` words; each block's shingles are held in memory while all members of the bucket are
 streamed past them, and only links that join two components leave the task. So no link between different texts of a
 bucket is lost, no pairs are written out, and a group of near copies costs a comparison each for all that are near
 its hub. Star verification deals each hub's members into salted groups of ``GROUP``.
@@ -37,7 +37,7 @@ from .common import BROADCAST_ROWS, table
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 21, 6
 REGISTERS = BANDS * ROWS
-GROUP, BLOCK = 256, 256
+GROUP, BLOCK, BLOCK_WORDS = 256, 256, 2_000_000
 CHUNK_BYTES = 1_500_000
 
 
@@ -169,8 +169,9 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: fl
 
 
 def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
-    """held: (band, a, comp, main) of the open buckets -> (a, hub) links that join components, found in blocks."""
-    blocks = held.filter("comp <> main").groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    """held: (band, a, comp, main, words) of the open buckets -> (a, hub) links that join components, found in blocks."""
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_WORDS))
+    blocks = held.filter("comp <> main").groupBy("band").agg(parts.cast("int").alias("blocks"))
     dealt = held.join(blocks, "band")
     inside = dealt.filter("comp <> main").select(F.col("a").alias("id"), "band", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("part"), "comp")
     past = dealt.select(F.col("a").alias("id"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "comp")
@@ -244,22 +245,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(id, class_id) of every row of docs."""
     signed = table(sign(docs, key, text), "signed")
     known = signed.filter("id IS NOT NULL AND n > 0")
-    reps = table(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "reps")
-    all_bands = reps.select("rep", F.explode("bands").alias("band")).distinct()
+    reps = table(known.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("words")), "reps")
+    all_bands = reps.select("rep", "words", F.explode(F.array_distinct("bands")).alias("band"))
     shared = all_bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     member = table(all_bands.join(shared, "band"), "members")
     central = member.groupBy("rep").agg(F.sum("size").alias("weight"))
     member = table(member.drop("size").join(central, "rep"), "members")
     best = F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub")
     hubs = member.groupBy("band").agg(best, F.count("*").alias("size"))
-    of_band = table(member.join(hubs, "band").select("band", F.col("rep").alias("a"), "hub", "size"), "stars")
+    of_band = table(member.join(hubs, "band").select("band", F.col("rep").alias("a"), "hub", "size", "words"), "stars")
     pairs = of_band.filter("a <> hub").groupBy(F.least("a", "hub").alias("u"), F.greatest("a", "hub").alias("v")).agg(F.max("hub").alias("hub"))
     pairs = table(pairs.select(F.expr("u + v - hub").alias("a"), "hub"), "pairs")
     links = table(verify(pairs, docs, key, text).distinct(), "links")
     label = components(links)
     n = label.count()
     comp = _if_small(label, n)
-    held = of_band.filter("size > 2").join(comp, F.col("a") == F.col("id"), "left").select("band", "a", "hub", F.coalesce("comp", "a").alias("comp"))
+    held = of_band.filter("size > 2").join(comp, F.col("a") == F.col("id"), "left").select("band", "a", "hub", "words", F.coalesce("comp", "a").alias("comp"))
     open_ = table(held.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("a") == F.col("hub"), F.col("comp"))).alias("main")).filter("low < high"), "open")
     n = open_.count()
     if n:
