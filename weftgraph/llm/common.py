@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import BROADCAST_ROWS, ship, table
+from weftgraph.session import shared_folder as scratch
+
 #: A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -17,50 +17,18 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Bounds of one Arrow batch handed to Python: rows and bytes, whichever is reached first.
 ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
-#: A table of at most this many narrow rows may be broadcast; its row count is always checked first.
-BROADCAST_ROWS = 200_000
-
 
 def tune(spark: SparkSession) -> None:
     """Bounds the Arrow batches, so that very long texts cannot fill a Python worker's memory, and ships this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    context = spark.sparkContext
-    if not getattr(context, "_weft_shipped", False):
-        package = Path(__file__).resolve().parent.parent
-        target = Path(tempfile.mkdtemp(prefix="weft-ship-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for file in sorted(package.rglob("*.py")):
-                z.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(target))
-        context._weft_shipped = True
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        held = context._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="weft-scratch-")
-        context.setCheckpointDir(folder)
-        folder = context._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
+    ship(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/weft-{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it: cuts the lineage so that it survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Marks a written table for broadcast if its counted rows are within the bound; else Spark's own join is used."""
     n = df.count() if rows is None else rows
