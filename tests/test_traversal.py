@@ -127,6 +127,16 @@ def test_strong_components(spark, seed):
     assert t.strongly_connected(graph(spark, [("x", "y")]).limit(0)).count() == 0
 
 
+def test_strong_components_of_a_long_chain(spark, monkeypatch):
+    """Chains take rounds in proportion to the logarithm of their length, not to it."""
+    made = []
+    monkeypatch.setattr(t, "table", lambda df, name="step", f=t.table: made.append(name) or f(df, name))
+    pairs = [(f"n{k:03}", f"n{k + 1:03}") for k in range(79)] + [("n050", "n040")]
+    got = {r.id: r.component for r in t.strongly_connected(graph(spark, pairs)).collect()}
+    assert got == {f"n{k:03}": "n040" if 40 <= k <= 50 else f"n{k:03}" for k in range(80)}
+    assert made.count("labels") < 60
+
+
 def test_topological(spark):
     dag = graph(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")])
     order = [r.id for r in t.topological(dag, "a").orderBy("level", "id").collect()]
