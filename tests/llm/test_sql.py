@@ -43,6 +43,9 @@ def test_quality_rules_are_native(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = quality_rules.judged(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    # Filtering by the verdict evaluates nothing twice.
+    cleaned = quality_rules.clean(docs)._jdf.queryExecution().executedPlan().toString()
+    assert cleaned.count("sort_array(") == plan.count("sort_array(")
 
 
 def test_cleaning(spark, odd, none):

@@ -95,7 +95,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """Kept documents with their failing lines removed; a length column, if there is one, follows the new text."""
-    df = judged(docs, text).filter("kept")
+    # Pushed below the projections, the predicate would repeat their expressions wherever it names them. A projection with a
+    # nondeterministic column that the filter reads keeps it above.
+    df = judged(docs, text).withColumn("_part", F.spark_partition_id()).filter("kept AND _part >= 0")
     cols = []
     for c in docs.columns:
         cols.append(F.col("clean_text").alias(c) if c == text else F.char_length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == length else F.col(f"_doc.`{c}`").alias(c))
