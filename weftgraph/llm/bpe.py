@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG_PIECE = 48
-MEMO_PIECES = 250_000
+MEMO_PIECES = 500_000
 SQL_PIECES = 40_000
 
 #: k: piece * 65536 + start, e: piece * 65536 + end, t: token. Only the piece's last round is kept.
