@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and reread."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.table(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.table(stage(spark, common.spread(docs), sf_dir), f"stage-{name}")
     return docs

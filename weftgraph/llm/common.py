@@ -25,6 +25,12 @@ def tune(spark: SparkSession) -> None:
     ship(spark)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan dealt over all cores if its files make fewer partitions than there are cores; larger inputs stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/weft-{name}-{uuid.uuid4().hex}"
 

@@ -12,7 +12,7 @@ from . import bpe, chat, common, language, minhash, mixing, quality_prior, quali
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     common.tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return common.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
