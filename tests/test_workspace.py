@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph import cli, model
 from weftgraph.cache import ResultCache
 from weftgraph.functions import fmt, render
+from weftgraph.session import sweep
 from weftgraph.sources import ingest, zig_units
 from weftgraph.streaming import replay
 from weftgraph.workspace import Database, WorkspaceError
@@ -198,6 +199,13 @@ def test_renderings(spark):
     assert render.found([]) == "No results found.\n" and render.operation(False, "no", "csv") == 'success,message\nfalse,"no"\n'
 
 
+def test_sweep(spark, tmp_path):
+    for name in ("weft-a-1", "weft-b-2", "other"):
+        spark.range(3).write.parquet(str(tmp_path / name))
+    assert sweep(spark, str(tmp_path)) == 2 and [p.name for p in tmp_path.iterdir()] == ["other"]
+    assert sweep(spark, str(tmp_path)) == 0
+
+
 def test_cache():
     now = [0.0]
     cache, made = ResultCache(limit=4, ttl=10, clock=lambda: now[0]), []

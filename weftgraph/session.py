@@ -47,6 +47,15 @@ def table(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, folder: str | None = None) -> int:
+    """Deletes the tables that this library left in the shared folder, once no result is in use; returns how many."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    pattern = jvm.Path(f"{folder or shared_folder(spark)}/weft-*")
+    system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.globStatus(pattern) or []]
+    return sum(system.delete(p, True) for p in found)
+
+
 def if_small(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast when its counted rows are within the bound, else left to Spark's shuffled joins."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
