@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from weftgraph.llm import bpe, queries
+from weftgraph.llm import arrays, bpe, queries
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -53,6 +53,19 @@ def test_small_memo(ranks, reference, monkeypatch):
     assert [[int(x) for x in ids.split()] for ids, _ in coder.texts(texts)] == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_other_operators_drop_the_coder(ranks):
+    bpe._coder(ranks, PATTERN)
+
+    def own(batches):
+        yield from batches
+
+    own.__module__ = bpe.__name__
+    assert list(arrays.tidy(own)(iter([1]))) == [1] and len(bpe._coders) == 1
+    own.__module__ = "another"
+    assert list(arrays.tidy(own)(iter([1]))) == [1] and not bpe._coders
+    assert bpe._coder(ranks, PATTERN) is bpe._coder(ranks, PATTERN)
+
+
 def test_odd_rows(odd, none, reference):
     rows = bpe.encode(odd, PATH, PATTERN, outputs=True).collect()
     want = sorted((repr(r.doc_id), sha((r.text or "").encode()), len(reference.encode_ordinary(r.text or ""))) for r in odd.collect())

@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrays
+
 LONG_PIECE = 48
-MEMO_PIECES = 500_000
+MEMO_PIECES = 250_000
 SQL_PIECES = 40_000
 
 #: k: piece * 65536 + start, e: piece * 65536 + end, t: token. Only the piece's last round is kept.
@@ -90,7 +92,7 @@ class Coder:
         self.bytes = {i: b for b, i in ranks.items()}
         self.memo: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         merges = pa.table({"lr": pa.array([a << 16 | b for a, b, _ in pairs], pa.int64()), "o": pa.array([c for *_, c in pairs], pa.int64())})
         vocab = pa.table({"id": pa.array(self.bytes.keys(), pa.int64()), "h": [b.hex() for b in self.bytes.values()]})
@@ -111,6 +113,7 @@ class Coder:
         self.db.execute(ENCODE)
         self.db.unregister("base")
         ids, hexa = (self.db.sql(q).to_arrow_table().column("x").to_pylist() for q in (IDS, DECODE))
+        self.db.execute("DROP TABLE coded")
         return zip(ids, map(bytes.fromhex, hexa), strict=True)
 
     def learn(self, pieces: Iterable[str]) -> None:
@@ -155,11 +158,19 @@ ARROW_CHARS = 2_000_000
 _coders: dict[tuple, Coder] = {}
 
 
+def _release() -> None:
+    while _coders:
+        _coders.popitem()[1].db.close()
+
+
+arrays.caches[__name__] = _release
+
+
 def _coder(ranks, pattern: str) -> Coder:
     """The worker's coder for this broadcast vocabulary."""
     key = (len(ranks), hash(frozenset(ranks.items())) if len(ranks) < 1000 else next(reversed(ranks.items())), pattern)
     if key not in _coders:
-        _coders.clear()
+        _release()
         _coders[key] = Coder(ranks, pattern)
     return _coders[key]
 
@@ -170,6 +181,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     keep = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     kind = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] * outputs)
 
+    @arrays.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coder = _coder(ranks.value, pattern)

@@ -123,6 +123,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     counts = small(table(rows.groupBy("l").count(), "languages"))
     sample = rows.join(counts, "l").filter(hash_unit("language", F.col("k")) * F.col("count") < per_language)
 
+    @arrays.tidy
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -167,6 +168,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text}`").alias("_t"))
     model = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
+    @arrays.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, scores = compare(batch.column("_t").to_pylist(), *model.value)

@@ -117,6 +117,7 @@ def _slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(id, h1, h2, n, bands): word sequence hashes, number of words, band keys (empty without a word)."""
 
+    @arrays.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole, "t"):
@@ -150,6 +151,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: fl
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).filter("id IS NOT NULL")
     sent = texts.join(_if_small(routes, n), "id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "part", "id")
 
+    @arrays.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
         for whole in batches:
@@ -179,6 +181,7 @@ def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).filter("id IS NOT NULL")
     sent = texts.join(_if_small(routes, routes.count()), "id").repartition("band", "block").sortWithinPartitions("band", "block", "part", "id")
 
+    @arrays.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block, merged = None, [], {}
         index: tuple | None = None
