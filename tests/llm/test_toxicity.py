@@ -39,6 +39,12 @@ def test_gapped_and_inserted_insults():
     assert one > many
 
 
+@pytest.mark.parametrize("word", ["gxrxuxmxbxlxexfxoxoxl", "s·n·o·r·k·w·i·t", "sn\u200b\u200bor\u200b\u200bkwit", "leave,snorkwit", "well...snorkwit", "mean/snorkwit/there", "grumble" + 5 * "x" + "fool", "supersnorkwit"])
+def test_whole_tokens_are_compared(word):
+    p = toxicity.score_batch(pa.array([f"morta {x} vinlon quo" for x in (word, "walking", "pxqxzxwxvxyxjxkxdx", "leave,walking")]), trained())
+    assert p[0] >= 0.5 and (p[1:] < 0.5).all()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -1,11 +1,12 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
 Method: the gap-weighted subsequence kernel of order ``ORDER`` (decay ``DECAY`` per spanned character), normalised and
-raised to ``POWER``, compares a landmark with the beginning of a token: its first characters, as many as the landmark
-has or ``INSERTED`` more, behind a mark for the token's edge. Beginnings that lack one of the landmark's characters have
-likeness 0 by definition; the better of the two lengths counts, so letters put before or between the landmark's own only
-lower the likeness. Punctuation inside a token is passed over, and a run of single-character tokens also counts as
-one token. The likenesses go through the Nyström map of the landmarks' own kernel matrix into a linear machine with
+raised to ``POWER``, compares a landmark, behind a mark for the token's edge, with the landmark's own characters in a whole
+token, in windows from each of them on. Other characters, however many, widen gaps: each costs one decay, and a piece's own
+kernel has ``OWN_GAPS`` of that, so that letters put between the landmark's own lower the likeness a little. Likenesses of
+at most ``LEAST`` count as none; windows that lack so many of the landmark's characters that Cauchy's and Schwarz's bound is no more are left
+out. Punctuation inside a token is passed over and also taken for an edge, the better counting, and a run of
+single-character tokens also counts as one token. The likenesses go through the Nyström map of the landmarks' own kernel matrix into a linear machine with
 squared hinge loss; tokens above 0 are hits. A text is judged by its ``TOP`` highest distinct tokens, its number of
 distinct hits and the share of its words that are hits, through a logistic link: one word that is like an insult by
 chance weighs less than several, and less in a long text.
@@ -24,6 +25,7 @@ are scored alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,10 +47,10 @@ TRAIN_CLEAN, TRAIN_TOXIC, TRAIN_CHARS, ROUNDS, RIDGE = 5000, 1500, 8000, 3, 0.00
 INSERTED, TOP = 3, 3
 #: Stands before a token's first character; texts hold none, as punctuation is passed over.
 EDGE = b"^"
-
-_BIT = np.zeros(256, np.uint64)
-_BIT[33:] = np.uint64(1) << ((np.arange(33, 256) * 37) % 64).astype(np.uint64)
-_BIT[97:123] = np.uint64(1) << np.arange(26, dtype=np.uint64)
+PUNCTUATION = ord(".")
+LEAST, OWN_GAPS = 0.6, 0.9
+#: Hashes a window's characters and gaps.
+_ODD = np.random.default_rng(5).integers(1 << 63, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
 @dataclass
@@ -60,11 +62,13 @@ class Model:
     link: np.ndarray
 
 
-def kernels(tokens: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Gap-weighted subsequence kernel of row pairs. tokens, marks: zero-padded byte matrices; a zero matches nothing."""
+def kernels(tokens: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: float = DECAY, token_gaps: np.ndarray | None = None, mark_gaps: np.ndarray | None = None) -> np.ndarray:
+    """Gap-weighted subsequence kernel of row pairs. tokens, marks: zero-padded matrices; a zero matches nothing. Gaps: how many characters were left out before each one."""
     n, width = tokens.shape
     m = marks.shape[1]
-    # before[j]: K' of the previous order between the token so far and the landmark's first j bytes.
+    wide = [1.0] * width if token_gaps is None else list(decay**token_gaps.T)
+    high = [1.0] * m if mark_gaps is None else list(decay**mark_gaps.T)
+    # before[j]: K' of the previous order between the token so far and the landmark's first j characters.
     before = [[np.ones(n)] * (m + 1)] * (width + 1)
     total = np.zeros(n)
     square = decay * decay
@@ -75,12 +79,12 @@ def kernels(tokens: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: fl
         for i in range(width):
             row, run = [np.zeros(n)], np.zeros(n)
             for j in range(m):
-                hit = np.where(same[i][j], before[i][j], 0.0)
+                hit = np.where(same[i][j], before[i][j] * (wide[i] * high[j]) if k else 1.0, 0.0)
                 if last:
                     total += square * hit
                 else:
-                    run = decay * run + square * hit
-                    row.append(decay * now[i][j + 1] + run)
+                    run = decay * high[j] * run + square * hit
+                    row.append(decay * wide[i] * now[i][j + 1] + run)
             now.append(row)
         before = now
     return total
@@ -90,32 +94,91 @@ def padded(pieces: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
 
 
+def _points(landmarks: list[bytes]) -> np.ndarray:
+    """The landmarks' characters, a zero-padded row each."""
+    names = [x.decode() for x in landmarks]
+    width = max(map(len, names))
+    return np.frombuffer("".join(x.ljust(width, "\0") for x in names).encode("utf-32-le"), np.uint32).reshape(len(names), width)
+
+
+@functools.lru_cache(maxsize=1)
+def _alnum() -> np.ndarray:
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
+@functools.lru_cache(maxsize=4)
+def _alphabets(landmarks: tuple[bytes, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each landmark its characters, its distinct ones, and the most that the normalised kernel can be with text that has only some of them.
+
+    The bound is Cauchy's and Schwarz's: subsequences with a character that the text lacks add nothing."""
+    out = []
+    for row in _points(list(landmarks)):
+        mark = row[row != 0]
+        letters = np.unique(mark)
+        has = (np.arange(1 << len(letters))[:, None] >> np.searchsorted(letters, mark)) & 1
+        some = np.where(has, mark, 0)
+        own = kernels(some, some)
+        out.append((mark, letters, np.sqrt(own / own[-1])))
+    return out
+
+
+def _windows(bit: np.ndarray, at: np.ndarray, of: np.ndarray, size: int, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the letters in each window, from every letter on, that could be like the landmark; and which of them are in it. bit, at, of: the landmark's own letters in tokens, wherever they stand."""
+    n = len(at)
+    close = np.searchsorted(of, of, "right")
+    have, reach, done = bit.copy(), 1, np.zeros(n, bool)
+    # The larger windows leave room for more of the landmark's own letters: some, or one in each place.
+    for most in sorted({size, size + INSERTED, 2 * size - 1}):
+        for reach in range(reach, min(most, n)):
+            have[: n - reach] |= np.where(close[: n - reach] > np.arange(reach, n), bit[reach:], 0)
+        reach = most
+        got = np.flatnonzero(~done & (bound[have] > LEAST))
+        done |= np.arange(n) + most >= close
+        for low in range(0, len(got), 100_000):
+            part = got[low : low + 100_000]
+            where = part[:, None] + np.arange(most)
+            yield np.minimum(where, n - 1), where < close[part][:, None]
+
+
 def likenesses(data: np.ndarray, start: np.ndarray, size: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> np.ndarray:
     """(tokens, landmarks) likeness of tokens that are spans of data. The landmarks begin with the edge mark."""
     out = np.zeros((len(start), len(landmarks)))
     if not len(start) or not landmarks:
         return out
-    needs = np.array([np.bitwise_or.reduce(_BIT[list(x[len(EDGE) :])]) for x in landmarks], np.uint64)
-    marks = padded(landmarks, max(map(len, landmarks)))
-    mark_size = np.array([len(x) - len(EDGE) for x in landmarks])
-    widest = int(mark_size.max()) + INSERTED
-    # bits[j]: characters among each token's first j + 1.
-    at = start[:, None] + np.arange(widest)
-    inside = np.arange(widest) < size[:, None]
-    letters = np.where(inside, data[np.minimum(at, len(data) - 1)], 0)
-    bits = np.bitwise_or.accumulate(np.where(inside, _BIT[letters], np.uint64(0)), axis=1)
-    found = []
-    for k, need in enumerate(needs):
-        for width in (mark_size[k], mark_size[k] + INSERTED):
-            got = np.flatnonzero((size >= mark_size[k]) & (bits[:, width - 1] & need == need))
-            found.append((got, np.full(len(got), k), np.full(len(got), width)))
-    token, mark, width = (np.concatenate(x) for x in zip(*found, strict=True))
-    for low in range(0, len(token), 20_000):
-        t, k, w = token[low : low + 20_000], mark[low : low + 20_000], width[low : low + 20_000]
-        piece = np.where(np.arange(widest) < w[:, None], letters[t], 0)
-        piece = np.hstack((np.full((len(t), 1), EDGE[0], piece.dtype), piece))
-        value = kernels(piece, marks[k]) / np.sqrt(kernels(piece, piece) * own[k])
-        np.maximum.at(out, (t, k), np.minimum(1.0, value) ** POWER)
+    # All tokens as characters, each behind a space.
+    ends = np.cumsum(size + 1)
+    inner = np.arange(ends[-1]) - np.repeat(ends - size - 1, size + 1)
+    flat = np.where(inner > 0, data[np.maximum(np.repeat(start, size + 1) + inner - 1, 0)], 32).astype(np.uint8)
+    text = np.frombuffer(flat.tobytes().decode().encode("utf-32-le"), np.uint32)
+    first = text == 32
+    of = np.cumsum(first) - 1
+    word = _alnum()[text]
+    odd = np.zeros(len(start), bool)
+    odd[of[~word & ~first]] = True
+    # Punctuation is passed over; beside that, it is an edge.
+    views = [(np.where(first, EDGE[0], text)[word | first], of[word | first])]
+    if odd.any():
+        views.append((np.where(word, text, EDGE[0])[odd[of]], of[odd[of]]))
+    for letter, token in views:
+        for k, (mark, letters, bound) in enumerate(_alphabets(tuple(landmarks))):
+            bit = np.zeros(len(letter), np.int64)
+            for i, x in enumerate(letters):
+                bit[letter == x] = 1 << i
+            at = np.flatnonzero(bit)
+            if not len(at):
+                continue
+            gap = np.diff(at, prepend=at[0] - 1) - 1
+            for where, inside in _windows(bit[at], at, token[at], len(mark), bound):
+                piece, gaps = np.where(inside, letter[at[where]], 0).astype(np.uint64), np.where(inside, gap[where], 0).astype(np.uint64)
+                # Many windows are alike; each kind is compared once.
+                _, kind, inverse = np.unique((piece * _ODD[: piece.shape[1]] + gaps * _ODD[-piece.shape[1] :]).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
+                piece, gaps = piece[kind], gaps[kind]
+                # A letter that is not the landmark's widens a gap, by less in the piece's own kernel.
+                self = kernels(piece, piece, token_gaps=gaps * OWN_GAPS, mark_gaps=gaps * OWN_GAPS)
+                value = kernels(piece, np.broadcast_to(mark, (len(piece), len(mark))), token_gaps=gaps)
+                value = np.divide(value, np.sqrt(self * own[k]), out=np.zeros(len(piece)), where=self > 0)
+                value = np.where(value > LEAST, np.minimum(1.0, value), 0.0) ** POWER
+                np.maximum.at(out[:, k], token[at[where[:, 0]]], value[inverse])
     return out
 
 
@@ -126,7 +189,16 @@ _DROP[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each distinct token of a text that is like any landmark: text number, likenesses, occurrences; and each text's words."""
     data, offsets = arrays.text_bytes(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Of punctuation, one character stays for each place inside a token.
+    place = np.flatnonzero(np.diff(np.concatenate(([False], _DROP[data], [False])).astype(np.int8)))
+    low, high = place[::2], place[1::2]
+    inner = (low > 0) & (high < len(data))
+    low, high = low[inner], high[inner]
+    inner = ~arrays._SPACE[data[low - 1]] & ~arrays._SPACE[data[high]] & (np.searchsorted(offsets, low - 1, "right") == np.searchsorted(offsets, high, "right"))
     keep = ~_DROP[data]
+    keep[low[inner]] = True
+    data = data.copy()
+    data[low[inner]] = PUNCTUATION
     offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
     data = data[keep]
     start, end, of = arrays.words(data, offsets)
@@ -256,8 +328,7 @@ def fit(texts: list[str], labels: list[int], shift: float = 0.0) -> Model:
     landmarks = choose_landmarks(texts, toxic) if toxic.any() and not toxic.all() else []
     if not landmarks:
         return Model([], np.ones(0), np.zeros(0), -1.0, np.append(np.zeros(TOP + 2), -50.0))
-    width = max(map(len, landmarks))
-    marks = padded(landmarks, width)
+    marks = _points(landmarks)
     own = kernels(marks, marks)
     n = len(landmarks)
     a, b = np.divmod(np.arange(n * n), n)
