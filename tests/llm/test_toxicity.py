@@ -45,6 +45,15 @@ def test_whole_tokens_are_compared(word):
     assert p[0] >= 0.5 and (p[1:] < 0.5).all()
 
 
+def test_spelled_runs_end_with_their_text():
+    model, text = trained(), "s n o r k w i t vinlon quo"
+    alone = toxicity.score_batch(pa.array([text]), model)[0]
+    for before in ("morta telric x", "a b", "", "s n o r"):
+        assert toxicity.score_batch(pa.array([before, text]), model)[1] == pytest.approx(alone)
+    assert alone >= 0.5
+    assert (toxicity.score_batch(pa.array(["a b", "c d"]), model) < 0.5).all()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

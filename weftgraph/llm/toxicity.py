@@ -207,9 +207,11 @@ def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np
         return np.zeros(0, np.int64), np.zeros((0, len(landmarks))), np.zeros(0, np.int64), count
     single = end - start <= 1 + (data[start] >= 0xC0)
     if len(single) > 3 and (single[3:] & single[2:-1] & single[1:-2] & single[:-3]).any():
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], single, [False])).astype(np.int8)))
-        spans = [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= 4]
-        spelled = [b"".join(data[start[i] : end[i]].tobytes() for i in range(a, b) if of[i] == of[a]) for a, b in spans]
+        # A run ends with its text.
+        run = np.concatenate(([-1], np.where(single, of, -1), [-1]))
+        edge = np.flatnonzero(np.diff(run))
+        spans = [(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True) if single[a] and b - a >= 4]
+        spelled = [b"".join(data[start[i] : end[i]].tobytes() for i in range(a, b)) for a, b in spans]
         size = np.fromiter(map(len, spelled), np.int64, len(spelled))
         first = len(data) + 1 + np.cumsum(size + 1) - size - 1
         of = np.concatenate((of, [of[a] for a, _ in spans])).astype(np.int64)
