@@ -3,8 +3,8 @@
 Method: a line's quote level is the number of ``>`` marks before its text. Quoted lines are normalised (letters and
 digits in lower case, single blanks) and hashed; so are the lines that a message says itself. A quoted passage belongs
 to the first message of its conversation that said it, if that is an earlier turn; else to the first message of all
-conversations that said it, if that is another conversation. First sayings are found by map-side-combined minima, so each
-passage joins at most one row. A message replies to the latest turn of its own conversation that its outermost quotes
+other conversations that said it. First sayings are found by map-side-combined minima and the first two conversations of
+each passage, so each passage joins at most one row. A message replies to the latest turn of its own conversation that its outermost quotes
 link to, else to the turn before it if there is one. Its reply text is what it says itself, without quotes and without
 a line that introduces a quote (``... wrote:``). A parent's turn is below its child's, so (conversation, turn) is reply order.
 
@@ -14,7 +14,7 @@ a conversation and turn are messages of their own; empty tables give empty resul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKS = r"^((?:[ \t]*>)+)"
@@ -53,10 +53,13 @@ def linked(messages: DataFrame, **columns: str) -> DataFrame:
     # Only passages that someone quotes need an origin.
     say = say.join(quote.select("h").distinct(), "h", "left_semi")
     inside = say.groupBy("c", "h").agg(F.min("turn").alias("here"))
-    anywhere = say.groupBy("h").agg(F.min(F.struct("c", "turn")).alias("first"))
+    # The first two conversations: one of them is not the quoting one.
+    two = inside.withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("c"))).filter("n <= 2")
+    anywhere = two.groupBy("h").agg(*(F.min(F.when(F.col("n") == n, F.struct("c", F.col("here").alias("turn")))).alias(x) for n, x in ((1, "first"), (2, "second"))))
     found = quote.join(inside, ["c", "h"], "left").join(anywhere, "h", "left")
     near = F.col("here") < F.col("turn")
-    far = ~F.coalesce(near, F.lit(False)) & (F.col("first.c") != F.col("c"))
+    found = found.withColumn("first", F.when(F.col("first.c") != F.col("c"), F.col("first")).otherwise(F.col("second")))
+    far = ~F.coalesce(near, F.lit(False)) & F.col("first").isNotNull()
     found = found.withColumn("near", F.coalesce(near, F.lit(False))).withColumn("far", F.coalesce(far, F.lit(False)))
     per = found.groupBy("c", "turn", "m").agg(
         F.count_if(F.col("near") | F.col("far")).alias("n_linked"),
