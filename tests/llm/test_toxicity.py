@@ -45,6 +45,13 @@ def test_whole_tokens_are_compared(word):
     assert p[0] >= 0.5 and (p[1:] < 0.5).all()
 
 
+def test_masked_letters_get_a_likeness():
+    model = trained()
+    for word in ("snork*it", "snorkw1t", "grumblef00l"):
+        _, like, _, _ = toxicity.tokens(pa.array([word]), model.landmarks, model.own)
+        assert like.max(initial=0) > 0, word
+
+
 def test_spelled_runs_end_with_their_text():
     model, text = trained(), "s n o r k w i t vinlon quo"
     alone = toxicity.score_batch(pa.array([text]), model)[0]
