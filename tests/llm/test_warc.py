@@ -3,9 +3,10 @@ import hashlib
 from base64 import b32encode
 from pathlib import Path
 
+import duckdb
 import pytest
 
-from weftgraph.llm import common, warc
+from weftgraph.llm import oracles, queries, warc
 
 SCHEMA = "page_id long, url string, html string, file string, length string, first string, d string, id string"
 
@@ -73,8 +74,8 @@ def test_index_finds_every_capture(spark, monkeypatch):
     rows = [(k, f"http://h{k % 7}.example.com/p{k % 40}", f"<p>{k % 13}</p>") for k in range(300)] + [(1000 + k, "http://hot.example.com/", f"hot {k}") for k in range(200)]
     monkeypatch.setattr(warc, "BLOCK_LINES", 16)
     monkeypatch.setattr(warc, "FILE_RECORDS", 50)
-    records, directory = warc.archive(pages(spark, rows))
-    listed = directory.collect()
+    path, directory = warc.archive(pages(spark, rows))
+    listed = directory.orderBy("first", "file", "offset").collect()
     assert sum(r.lines for r in listed) == len(rows) and max(r.lines for r in listed) <= 16 and [r["first"] for r in listed] == sorted(r["first"] for r in listed)
     index = warc.Directory([(r["first"], r.file, r.offset, r.length) for r in listed])
     held = {}
@@ -87,11 +88,56 @@ def test_index_finds_every_capture(spark, monkeypatch):
             headers, body = warc.parse(record)
             assert headers["warc-record-id"] == f"<urn:page:{k}>" and headers["warc-type"] == kind
             assert body.decode() == (next(b for i, _, b in rows if i == k) if kind == "response" else "")
-    stored = common.table(directory, "directory")
     for url in ("http://hot.example.com/", "http://h3.example.com/p3", "http://none.example.com/"):
-        assert sorted(warc.lookup_in(stored, url), key=repr) == sorted(index.lookup(url), key=repr)
+        assert sorted(warc.lookup_in(directory, url), key=repr) == sorted(index.lookup(url), key=repr)
     assert index.lookup("http://none.example.com/") == [] and index.lookup("http://aaa.zzz/") == [] and warc.Directory([]).lookup("http://x/") == []
-    assert records.count() == len(rows)
+    # A key that another one begins with.
+    assert index.lookup("http://h1.example.com/p") == []
+    # One hot key's captures lie in many blocks, yet each page's key needs two at most.
+    assert len(index.blocks(warc.capture_key("http://hot.example.com/", 0), warc.capture_key("http://hot.example.com/", 9999))) > 10
+    assert max(len(index.blocks(k, k)) for k in (warc.capture_key(u, i) for i, u, _ in rows)) <= 2
+    some = pages(spark, rows[40:90] + [(77, "http://elsewhere.example/", "")])
+    assert sorted(r.page_id for r in warc.fetch(some, directory).collect()) == list(range(40, 90))
+
+
+@pytest.mark.parametrize("gap, stretch", [(0, 100), (1 << 20, 1 << 30)])
+def test_fetch_equals_the_survey(spark, monkeypatch, gap, stretch):
+    """Every record comes back once through the index, repeated rows and null ids too, however ranges are cut."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "GAP_BYTES", gap)
+    monkeypatch.setattr(warc, "STRETCH_BYTES", stretch)
+    rows = ROWS + [(50, "http://many.example/", "same again")] * 20 + [(None, None, "x")] * 4 + [(50, "http://many.example/#part", "other")]
+    path, directory = warc.archive(pages(spark, rows))
+    survey, found = (sorted(map(tuple, x.collect()), key=repr) for x in (warc.read(spark, path, bodies=True), warc.fetch(pages(spark, rows), directory, bodies=True)))
+    assert len(found) == len(rows) and found == survey
+
+
+def test_directory_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    monkeypatch.setattr(warc, "MAX_BLOCKS", 10)
+    rows = [(k, f"http://h{k % 9}.example/{k}", "x") for k in range(400)]
+    _, directory = warc.archive(pages(spark, rows))
+    assert directory.count() <= 10 + int(spark.conf.get("spark.sql.shuffle.partitions")) and warc.fetch(pages(spark, rows), directory).count() == 400
+
+
+def test_no_read_but_through_the_index(spark):
+    """The result's plan scans pages, and neither archives nor blocks."""
+    _, directory = warc.archive(pages(spark, ROWS))
+    plan = warc.fetch(pages(spark, ROWS), directory)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "weft-warc" not in plan and "weft-cdx" not in plan
+
+
+def test_query_against_sql(spark, tmp_path):
+    """Revisits of a hot payload, an empty one and one that only null ids hold."""
+    rows = [(k, f"http://h{k % 5}.example/{k}", ["<p>hot</p>", f"<p>{k}</p>", "", None, f"pair {k // 8}"][k % 5 if k % 3 else 0]) for k in range(600)]
+    rows += [(None, "http://null.example/", "only null ids"), (None, "http://null.example/b", "only null ids"), (None, None, "<p>hot</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [tuple(r) for r in queries.op1_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({oracles.oracle_sql()['op1_warc']})").fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(r[3] == "revisit" for r in got) > 300
 
 
 def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
@@ -101,5 +147,5 @@ def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
 
 
 def test_empty_table(spark):
-    records, directory = warc.archive(pages(spark, ROWS).limit(0))
-    assert records.count() == 0 and directory.count() == 0 and common.scratch(spark)
+    path, directory = warc.archive(pages(spark, ROWS).limit(0))
+    assert warc.read(spark, path).count() == 0 and directory.count() == 0 and warc.fetch(pages(spark, ROWS), directory).count() == 0

@@ -16,9 +16,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records, directory = warc.archive(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    common.table(directory, "directory")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, directory = warc.archive(pages)
+    return warc.fetch(pages, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,23 @@
 
 Method: pages become WARC/1.1 records, one gzip member each, appended by Spark's own text writer, so its commit protocol
 covers lost and repeated tasks. Of records with equal payloads of at least ``MIN_REVISIT_BYTES`` bytes, that with the
-smallest page id is a response and the others are revisits of it, without a payload. Archives are read back as bytes
-and parsed by member and Content-Length. The capture index sorts (reversed-host URL key, timestamp, page id) lines
-globally, cuts them into blocks of ``BLOCK_LINES``, compresses each block, and keeps a sparse directory: the first key
-of each block with its file, offset and length. ``Directory.lookup`` binary-searches the directory in memory, range-reads
-blocks, and range-reads records; ``lookup_in`` does so with a directory that is too large for the driver, by filters that
-prune its sorted Parquet files.
+smallest page id is a response and the others are revisits of it, without a payload. The archives are surveyed once, as
+a stream of members, for the place of each record. The capture index sorts these captures by key (reversed host and path
+of the URL, then the page id), cuts them into blocks, compresses each block, and keeps a sparse directory: the first key
+of each block with its file, offset and length. Blocks have ``BLOCK_LINES`` captures, more where the directory would
+pass ``MAX_BLOCKS`` entries, so the directory is always small enough to broadcast.
+
+Records are read back through the index. ``fetch`` looks up every page of a table: a binary search of the directory
+gives the blocks that can hold its key; keys meet at their block, which is range-read once; the captures found go by file
+and stretch of file to tasks that range-read the records, neighbours together. ``Directory.lookup`` does the same for
+one URL; ``lookup_in`` does so with a stored directory, by filters that prune its sorted Parquet files.
 
 A text line ends in a separator, and gzip members must follow each other without a gap; a member's last byte is the
 high byte of its length modulo 2 ** 32, which is 0 below 16 MiB, so that byte is cut and written back as the separator.
-Larger members are followed by an empty one, which ends in 0.
+Larger members are followed by an empty one, which ends in 0. No task holds more of a file than one record, or ``READ_BYTES``.
 
 Defined results: a null payload is empty; a null URL is recorded as an empty target; records that repeat a page id and
-payload are written each; rows with a null page id never name a group unless all of it is null; empty tables give
+URL are written each, and found each; rows with a null page id never name a group unless all of it is null; empty tables give
 empty archives and an empty index; other columns are not read.
 """
 
@@ -23,9 +27,11 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -35,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, scratch_path, table
 
 MIN_REVISIT_BYTES = 0
-BLOCK_LINES = 512
-#: Bounds of one archive file, which a task reads whole: records, and payload bytes by their mean.
+BLOCK_LINES, MAX_BLOCKS, TASK_BLOCKS = 512, 100_000, 64
+#: Sizes of one archive file to aim at: records, and payload bytes by their mean.
 FILE_RECORDS, FILE_BYTES = 5000, 96 << 20
+#: Records at most so far apart are read together, up to so many bytes; a task takes such a stretch of a file.
+GAP_BYTES, READ_BYTES, STRETCH_BYTES = 64 << 10, 8 << 20, 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: A payload digest held by more than this share of the records is joined by broadcast: at most 1 / share of them.
 HOT_SHARE = 0.001
@@ -49,15 +57,21 @@ def base32_of_hex(hexa: str) -> str:
 
 
 def surt(url: str | None) -> str:
-    """Reversed-host key: http://www.Example.com:80/a?b#c -> com,example)/a?b"""
+    """Reversed-host key: http://www.Example.com:80/a?b#c -> com,example)/a?b. A URL and its record's header have the same."""
+    url = _clean(url or "").strip()
     try:
-        parts = urlsplit((url or "").strip())
+        parts = urlsplit(url)
         host = (parts.hostname or "").lower().removeprefix("www.")
         port = f":{parts.port}" if parts.port and (parts.scheme, parts.port) not in (("http", 80), ("https", 443)) else ""
+        key = ",".join(reversed(host.split("."))) + port + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
     except ValueError:
-        return re.sub(r"\s", "%20", (url or "").lower())
-    path = re.sub(r"\s", "%20", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
-    return ",".join(reversed(host.split("."))) + port + ")" + path
+        key = url.lower()
+    return re.sub(r"\s", "%20", key)
+
+
+def capture_key(url: str | None, page_id: int | None) -> str:
+    """The reversed-host key and, behind a tab, the page id in digits that sort as numbers do, a null first."""
+    return f"{surt(url)}\t" + ("" if page_id is None else f"{page_id + (1 << 63):016x}")
 
 
 def _clean(value: str) -> str:
@@ -87,16 +101,16 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[: int(headers.get("content-length", 0))]
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, uncompressed record) of each record's member; empty members belong to the record before."""
-    at, held = 0, None
-    view = memoryview(data)
-    while at < len(data):
+def members(source: bytes | BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, uncompressed record) of each record's member, as they stream by; empty members belong to the record before."""
+    file = io.BytesIO(source) if isinstance(source, bytes) else source
+    at, held, data = 0, None, file.read(1 << 20)
+    while data:
         reader, out, low = zlib.decompressobj(31), [], at
-        while not reader.eof and at < len(data):
-            step = view[at : at + (1 << 16)]
-            out.append(reader.decompress(step))
-            at += len(step) - len(reader.unused_data)
+        while data and not reader.eof:
+            out.append(reader.decompress(data))
+            at += len(data) - len(reader.unused_data)
+            data = reader.unused_data or file.read(1 << 20)
         record = b"".join(out)
         if not record and held:
             held = held[0], at - held[0], held[2]
@@ -143,31 +157,70 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     records.write.option("lineSep", "\0").option("maxRecordsPerFile", most).text(path)
 
 
+def opened(file: str) -> BinaryIO:
+    """A file that can be read by ranges, by whichever file system its address names."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]:", "s3:", file)))
+    return system.open_input_file(name)
+
+
+def range_read(file: str, offset: int, length: int) -> bytes:
+    with opened(file) as f:
+        f.seek(offset)
+        return f.read(length)
+
+
+_RECORD = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, file string, offset bigint, length bigint"
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+
+def _row(file: str, offset: int, length: int, record: bytes, bodies: bool) -> list:
+    """A record's row. A response's digest and length come from its payload as read; a revisit's from its headers, as it has none."""
+    h, body = parse(record)
+    ident, url, kind = _number(h.get("warc-record-id")), h.get("warc-target-uri"), h.get("warc-type")
+    if kind == "revisit":
+        row = [ident, url, kind, _number(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), int(h.get("x-payload-length", 0))]
+    else:
+        row = [ident, url, kind, None, base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)]
+    return [*row, file, offset, length] + [body] * bodies
+
+
+def _rows(records: Iterator[tuple[str, int, int, bytes]], bodies: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of at most 1000 rows, and of about READ_BYTES of bodies."""
+    kinds = _KINDS + [pa.binary()] * bodies
+    names = [x.split()[0] for x in _RECORD.split(", ")] + ["body"] * bodies
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    out, size = [], 0
+    for file, offset, length, record in records:
+        out.append(_row(file, offset, length, record, bodies))
+        size += len(record) * bodies
+        if len(out) == 1000 or size > READ_BYTES:
+            yield batch()
+            out, size = [], 0
+    yield batch()
+
+
 def read(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
-    """Records of the archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, file, offset, length.
+    """A survey of the archives: page_id, url, record_type, refers_to, payload_digest, payload_bytes, file, offset, length.
 
-    A response's digest and length come from its payload as read; a revisit's from its headers, as it has none.
+    Files are listed by Spark and streamed member by member.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, file string, offset bigint, length bigint"
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                out = []
-                for offset, length, record in members(data.as_py()):
-                    h, body = parse(record)
-                    ident = _number(h.get("warc-record-id"))
-                    if h.get("warc-type") == "revisit":
-                        row = [ident, h.get("warc-target-uri"), "revisit", _number(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), int(h.get("x-payload-length", 0))]
-                    else:
-                        row = [ident, h.get("warc-target-uri"), h.get("warc-type"), None, base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)]
-                    out.append([*row, name, offset, length] + [body] * bodies)
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()] + [pa.binary()] * bodies
-                names = [x.split()[0] for x in schema.split(", ")] + ["body"] * bodies
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-
-    return files.mapInArrow(take, schema + ", body binary" * bodies)
+        def records() -> Iterator[tuple[str, int, int, bytes]]:
+            for batch in batches:
+                for name in batch.column("path").to_pylist():
+                    with opened(name) as file:
+                        for offset, length, record in members(file):
+                            yield name, offset, length, record
+
+        yield from _rows(records(), bodies)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(take, _RECORD + ", body binary" * bodies)
 
 
 def _number(urn: str | None) -> int | None:
@@ -175,15 +228,17 @@ def _number(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def build_index(records: DataFrame, path: str) -> DataFrame:
-    """Writes the compressed blocks under path and returns the directory: (first, file, offset, length, lines), a row per block.
+def build_index(captures: DataFrame, path: str) -> DataFrame:
+    """captures: (url, page_id, record_type, file, offset, length), a written table. Writes the compressed blocks under path and
+    returns the directory: (first, file, offset, length, lines, bytes), a row per block; bytes are those of its records.
 
     Keys are dealt by range, sorted, and cut into blocks as they stream; a block is one gzip member, ended as records are.
     """
-    spark = records.sparkSession
-    key = F.pandas_udf(lambda urls: urls.map(surt), "string")
-    lines = records.select(key("url").alias("k"), "page_id", "record_type", "file", "offset", "length")
-    ordered = lines.repartitionByRange("k", "page_id").sortWithinPartitions("k", "page_id", "offset")
+    spark = captures.sparkSession
+    most = max(BLOCK_LINES, -(-captures.count() // MAX_BLOCKS))
+    key = F.pandas_udf(lambda urls, ids: _keys(urls, ids), "string")
+    lines = captures.select(key("url", F.col("page_id").cast("string")).alias("k"), "record_type", "file", "offset", "length")
+    ordered = lines.repartitionByRange("k", "file", "offset").sortWithinPartitions("k", "file", "offset")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[str] = []
@@ -195,7 +250,7 @@ def build_index(records: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append("\t".join("" if x is None else str(x) for x in row))
-                if len(held) == BLOCK_LINES:
+                if len(held) == most:
                     yield block()
                     held = []
         if held:
@@ -205,11 +260,31 @@ def build_index(records: DataFrame, path: str) -> DataFrame:
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                out = [(b.split(b"\t", 1)[0].decode(), name, o, n, b.count(b"\n") + 1) for o, n, b in members(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())], names=["first", "file", "offset", "length", "lines"])
+            for name in batch.column("path").to_pylist():
+                with opened(name) as file:
+                    out = [(_first(b), name, o, n, b.count(b"\n") + 1, sum(int(x.rpartition(b"\t")[2]) for x in b.split(b"\n"))) for o, n, b in members(file)]
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["first", "file", "offset", "length", "lines", "bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(survey, "first string, file string, offset bigint, length bigint, lines bigint, bytes bigint").orderBy("first", "file", "offset")
+
+
+def _keys(urls, ids):
+    import pandas as pd
+
+    return pd.Series([capture_key(u, None if i is None else int(i)) for u, i in zip(urls, ids, strict=True)], dtype=object)
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(survey, "first string, file string, offset bigint, length bigint, lines bigint").orderBy("first", "file", "offset")
+def _first(block: bytes) -> str:
+    return "\t".join(block.split(b"\n", 1)[0].decode().split("\t")[:2])
+
+
+def _lines(file: BinaryIO, offset: int, length: int) -> Iterator[tuple[str, str, str, int, int]]:
+    """(key, record type, file, offset, length) of each capture of a block."""
+    file.seek(offset)
+    for line in zlib.decompressobj(31).decompress(file.read(length)).decode().split("\n"):
+        key, ident, kind, name, at, size = line.split("\t")
+        yield f"{key}\t{ident}", kind, name, int(at), int(size)
 
 
 def _packed(data: bytes) -> bytes:
@@ -218,57 +293,119 @@ def _packed(data: bytes) -> bytes:
     return made if made[-1] == 0 else made + _MEMBER_TAIL
 
 
-def range_read(file: str, offset: int, length: int) -> bytes:
-    """Bytes of one file, by whichever file system its address names."""
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", file))
-    with system.open_input_file(name) as f:
-        f.seek(offset)
-        return f.read(length)
-
-
 def _captures(blocks: list[tuple[str, int, int]], key: str) -> list[tuple[int | None, str, bytes]]:
-    """(page id, record type, record) of the key's captures in the blocks (file, offset, length), by range reads."""
+    """(page id, record type, record) of the URL key's captures in the blocks (file, offset, length), by range reads."""
     found = []
     for file, offset, length in blocks:
-        block = zlib.decompressobj(31).decompress(range_read(file, offset, length)).decode()
-        for line in block.split("\n"):
-            k, ident, kind, name, at, size = line.split("\t")
-            if k == key:
-                data = range_read(name, int(at), int(size))
-                found.append((int(ident) if ident else None, kind, next(members(data))[2]))
+        with opened(file) as f:
+            for k, kind, name, at, size in _lines(f, offset, length):
+                url, _, ident = k.partition("\t")
+                if url == key:
+                    found.append((int(ident, 16) - (1 << 63) if ident else None, kind, next(members(range_read(name, at, size)))[2]))
     return found
 
 
 class Directory:
-    """The sparse directory of an index in memory: one entry per block of BLOCK_LINES captures."""
+    """The sparse directory of an index in memory: (first key, file, offset, length), one entry per block."""
 
     def __init__(self, rows: list[tuple[str, str, int, int]]):
         self.rows = sorted(rows)
         self.firsts = [r[0] for r in self.rows]
 
+    def blocks(self, low: str, high: str) -> range:
+        """Numbers of the blocks that can hold keys from low to high: captures of one key may begin in the block before the first that starts with it."""
+        return range(max(0, bisect.bisect_left(self.firsts, low) - 1), bisect.bisect_right(self.firsts, high))
+
     def lookup(self, url: str) -> list[tuple[int | None, str, bytes]]:
         """(page id, record type, record) of each capture of the URL: directory, then block, then record, by range reads."""
         key = surt(url)
-        # Captures of one key may begin in the block before the first that starts with it.
-        low, high = max(0, bisect.bisect_left(self.firsts, key) - 1), bisect.bisect_right(self.firsts, key)
-        return _captures([r[1:] for r in self.rows[low:high]], key)
+        return _captures([self.rows[i][1:] for i in self.blocks(f"{key}\t", f"{key}\tg")], key)
 
 
 def lookup_in(directory: DataFrame, url: str) -> list[tuple[int | None, str, bytes]]:
-    """As Directory.lookup, over a written directory of any size: only the blocks that can hold the URL reach the driver."""
+    """As Directory.lookup, over a written directory: only the blocks that can hold the URL reach the driver."""
     key = surt(url)
-    before = directory.filter(F.col("first") < key).orderBy(F.desc("first"), F.desc("file"), F.desc("offset")).limit(1)
-    rows = before.unionByName(directory.filter(F.col("first") == key)).select("file", "offset", "length").collect()
+    low, high = f"{key}\t", f"{key}\tg"
+    before = directory.filter(F.col("first") < low).orderBy(F.desc("first"), F.desc("file"), F.desc("offset")).limit(1)
+    rows = before.unionByName(directory.filter((F.col("first") >= low) & (F.col("first") < high))).select("file", "offset", "length").collect()
     return _captures([tuple(r) for r in rows], key)
 
 
-def archive(pages: DataFrame, index: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Writes pages to archives in the shared folder, indexes them, and reads them back: (records, directory)."""
+def fetch(pages: DataFrame, directory: DataFrame, key: str = "page_id", url: str = "url", bodies: bool = False) -> DataFrame:
+    """The records of every (page id, URL) in pages, by way of the index; a capture is returned once, however often pages name it. Rows are as ``read`` gives them."""
+    spark = pages.sparkSession
+    # MAX_BLOCKS entries at most, and one for each range partition.
+    entries = directory.select("first", "file", "offset", "length", "bytes").collect()
+    held = spark.sparkContext.broadcast(Directory([tuple(r)[:4] for r in entries]))
+    # Narrow rows stand for much reading: Spark would put all of them into a few tasks.
+    cores = spark.sparkContext.defaultParallelism
+    shares, stretches = max(cores, len(entries) // TASK_BLOCKS), max(cores, sum(r.bytes for r in entries) // STRETCH_BYTES)
+    asked = pages.select(F.col(f"`{key}`").cast("bigint").alias("i"), F.col(f"`{url}`").cast("string").alias("u")).distinct()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, keys = [], []
+            for i, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = capture_key(u, i)
+                there = held.value.blocks(k, k)
+                block += there
+                keys += [k] * len(there)
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(keys, pa.string())], names=["block", "k"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines = None, {}
+        for batch in batches:
+            out = []
+            for number, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != now:
+                    _, file, offset, length = held.value.rows[number]
+                    now, lines = number, {}
+                    with opened(file) as f:
+                        for found, _, *place in _lines(f, offset, length):
+                            lines.setdefault(found, []).append(place)
+                # URLs that differ by what a key leaves out ask for the same captures.
+                out += lines.pop(k, ())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "offset", "length"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(_together((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))), bodies)
+
+    places = asked.mapInArrow(search, "block int, k string").repartition(shares, "block").sortWithinPartitions("block", "k").mapInArrow(take, "file string, offset bigint, length bigint")
+    near = places.repartition(stretches, "file", (F.col("offset") / STRETCH_BYTES).cast("bigint")).sortWithinPartitions("file", "offset")
+    return near.select("file", "offset", "length").mapInArrow(gather, _RECORD + ", body binary" * bodies)
+
+
+def _together(places: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, bytes]]:
+    """(file, offset, length, record) of sorted places; those close to each other come by one range read."""
+    run: list[tuple[int, int]] = []
+    name, file = None, None
+
+    def load() -> Iterator[tuple[str, int, int, bytes]]:
+        if run:
+            low = run[0][0]
+            file.seek(low)
+            data = memoryview(file.read(run[-1][0] + run[-1][1] - low))
+            for offset, length in run:
+                yield name, offset, length, next(members(bytes(data[offset - low : offset - low + length])))[2]
+
+    for f, offset, length in places:
+        if run and (f != name or offset > run[-1][0] + run[-1][1] + GAP_BYTES or offset + length > run[0][0] + READ_BYTES):
+            yield from load()
+            run = []
+        if f != name:
+            if file:
+                file.close()
+            name, file = f, opened(f)
+        run.append((offset, length))
+    yield from load()
+    if file:
+        file.close()
+
+
+def archive(pages: DataFrame) -> tuple[str, DataFrame]:
+    """Writes pages to archives in the shared folder and indexes them: (folder of the archives, stored directory)."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path)
-    records = table(read(spark, path), "captures")
-    return records, build_index(records, scratch_path(spark, "cdx")) if index else None
-
+    captures = table(read(spark, path).select("url", "page_id", "record_type", "file", "offset", "length"), "captures")
+    return path, table(build_index(captures, scratch_path(spark, "cdx")), "directory")
