@@ -126,7 +126,7 @@ def test_statistics(spark):
     e = spark.createDataFrame([("a", "b", "calls")], model.EDGES)
     assert stats.index_statistics(b, "codebase").first().asDict() == {"unique_values": 1, "total_blocks": 2, "max_per_value": 2, "selectivity": 0.5, "is_selective": False}
     assert stats.index_statistics(b.limit(0), "codebase").first().selectivity == 1.0
-    assert stats.storage_statistics(b, b, e) == {"versions": 2, "live_blocks": 2, "edges": 1, "content_bytes": 4}
+    assert stats.storage_statistics(b, b, e).first().asDict() == {"versions": 2, "live_blocks": 2, "edges": 1, "content_bytes": 4}
     row = stats.workspace_statistics(b, e).first()
     assert (row.codebase, row.block_count, row.edge_count, row.estimated_bytes) == ("w", 2, 1, 2 * 2048 + 64)
     got = spark.sql("SELECT 0L AS a, 100L AS b, 9000L AS c").select(*[stats.sync_status(F.col(c), 10_000) for c in "abc"]).first()

@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from weftgraph.session import ranked
+
 FORMATS = ("text", "json", "csv")
 PREVIEW, PAGE = 80, 1000
 BEGIN, END = "--- BEGIN CONTEXT BLOCK ---", "--- END CONTEXT BLOCK ---"
@@ -20,13 +22,13 @@ BEGIN, END = "--- BEGIN CONTEXT BLOCK ---", "--- END CONTEXT BLOCK ---"
 def model_text(blocks: DataFrame, similarity: str | None = None) -> DataFrame:
     """(ord, text): each block as text for a language model, numbered by descending similarity and id.
 
-    The numbering is one global order: meant for bounded results, as searches return them.
+    The numbering is by ranges, so results of any size are numbered without meeting in one task.
     """
     order = [*([F.desc(similarity)] if similarity else []), F.col("id")]
     head = F.format_string("Block %d (ID: %s, Similarity: %.3f):", "ord", "id", F.col(similarity).cast("double")) if similarity else F.format_string("Block %d (ID: %s):", "ord", "id")
     line = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("")))
     text = F.concat_ws("\n", F.lit(BEGIN), head, line("Source", "source_uri"), line("Sequence", "sequence"), line("Metadata", "metadata_json"), line("Content", "content"), F.lit(END))
-    return blocks.withColumn("ord", F.row_number().over(Window.orderBy(*order))).select("ord", text.alias("text"))
+    return ranked(blocks, *order).withColumn("ord", (F.col("rank") + 1).cast("int")).select("ord", text.alias("text"))
 
 
 def for_model(blocks: DataFrame, similarity: str | None = None) -> str:

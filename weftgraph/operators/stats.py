@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import if_small, ranked, table
+
 SECONDS_FRESH = 3600
 
 
@@ -51,16 +53,38 @@ def memory_pressure(used: Column, limit: Column) -> Column:
     return F.when(share >= 0.8, "high").when(share >= 0.5, "medium").otherwise("low")
 
 
-def storage_statistics(blocks: DataFrame, live: DataFrame, edges: DataFrame) -> dict[str, int]:
-    """Totals: versions written, live blocks, edges, bytes of live content."""
-    held = live.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b")).first()
-    return {"versions": blocks.count(), "live_blocks": held.n, "edges": edges.count(), "content_bytes": held.b}
+def storage_statistics(blocks: DataFrame, live: DataFrame, edges: DataFrame) -> DataFrame:
+    """(versions, live_blocks, edges, content_bytes): a row of totals, the bytes being those of live content."""
+    size = F.octet_length("content").cast("bigint")
+    parts = [
+        blocks.select(F.lit(1).alias("v"), F.lit(0).alias("l"), F.lit(0).alias("e"), F.lit(0).cast("bigint").alias("b")),
+        live.select(F.lit(0).alias("v"), F.lit(1).alias("l"), F.lit(0).alias("e"), F.coalesce(size, F.lit(0)).alias("b")),
+        edges.select(F.lit(0).alias("v"), F.lit(0).alias("l"), F.lit(1).alias("e"), F.lit(0).cast("bigint").alias("b")),
+    ]
+    total = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return total.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("v", "versions"), ("l", "live_blocks"), ("e", "edges"), ("b", "content_bytes"))])
 
 
 def latency_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
-    """Per group: n, mean, median, p95, p99, min, max, population standard deviation."""
+    """Per group with a value: n, mean, median, p95, p99, min, max, population standard deviation. Null values do not count.
+
+    Percentiles are exact, interpolated between the two nearest ranks: rows are ranked by ranges, so a group of any size is
+    dealt over many tasks, and of each group only the rows at the ranks asked for meet.
+    """
     v = F.col(value)
-    return samples.groupBy(group).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"),
-        F.percentile(v, F.lit(0.99)).alias("p99"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"),
-    )
+    rows = ranked(samples.select(F.col(group).alias("_g"), v.cast("double").alias("_v")).filter("_v IS NOT NULL"), "_g", "_v")
+    groups = rows.groupBy("_g").agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.stddev_pop("_v").alias("std"), F.min("rank").alias("_first"))
+    groups = table(groups, "groups")
+    sides = if_small(groups.select(F.col("_g").alias("_h"), "n", "_first"), groups.count())
+    at = F.col("rank") - F.col("_first")
+    near = rows.join(sides, F.col("_g").eqNullSafe(F.col("_h")))
+    places = {name: (F.col("n") - 1) * share for name, share in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    wanted = F.lit(False)
+    for p in places.values():
+        wanted = wanted | (at == F.floor(p)) | (at == F.ceil(p))
+    ends = [F.max(F.when(at == end(p), F.col("_v"))).alias(f"{name}_{k}") for name, p in places.items() for k, end in ((0, F.floor), (1, F.ceil))]
+    picked = near.filter(wanted).groupBy("_h").agg(*ends)
+    out = groups.join(picked, F.col("_g").eqNullSafe(F.col("_h")))
+    between = [(F.col(f"{name}_0") + (F.col(f"{name}_1") - F.col(f"{name}_0")) * (p - F.floor(p))).alias(name) for name, p in places.items()]
+    return out.select(F.col("_g").alias(group), "n", "mean", *between, "min", "max", "std")

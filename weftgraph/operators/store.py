@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import model
+from weftgraph.session import if_small, ranked, table
 
 GRACE_SECONDS = 6 * 3600
 BATCH_LIMIT, MANY_LIMIT = 100, 1000
@@ -17,13 +18,16 @@ POLICIES = ("skip_older", "overwrite", "fail")
 def current(blocks: DataFrame, tombstones: DataFrame) -> DataFrame:
     """The live version of each id: highest sequence over versions and deletions; a deletion there hides the block.
 
-    One aggregation with map-side combine; of equal sequences a block wins over a deletion and the smaller content is kept.
+    The newest sequence is a hash aggregation over narrow rows; other columns are fetched for the winners, if they are
+    asked for, by a join on the id that both sides are dealt by. Of equal sequences a block wins over a deletion. A sequence names one write, so
+    blocks that repeat an id and sequence are copies, of which one stays.
     """
-    fields = [c for c in blocks.columns if c != "id"]
-    gone = tombstones.select("id", F.col("sequence").alias("_seq"), F.lit(False).alias("_live"), *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in fields])
-    all_ = blocks.select("id", F.col("sequence").alias("_seq"), F.lit(True).alias("_live"), *fields).unionByName(gone)
-    top = all_.groupBy("id").agg(F.max(F.struct("_seq", "_live", *fields)).alias("v"))
-    return top.filter("v._live").select(*[F.col("id") if c == "id" else F.col(f"v.{c}").alias(c) for c in blocks.columns])
+    code = F.col("sequence") * 2
+    both = blocks.select("id", (code + 1).alias("_top")).unionByName(tombstones.select("id", code.alias("_top")))
+    newest = both.groupBy("id").agg(F.max("_top").alias("_top")).filter("_top % 2 = 1")
+    # The comparison is no join key, so that the rows stay dealt by id for the last step.
+    found = blocks.join(newest, "id").filter(F.col("sequence") * 2 + 1 - F.col("_top") == 0)
+    return found.select(*blocks.columns).dropDuplicates(["id"])
 
 
 def find(blocks: DataFrame, ident: str) -> DataFrame:
@@ -41,7 +45,9 @@ def find_many(blocks: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def exists(blocks: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """(id, present) for each distinct id."""
+    """(id, present) for each distinct id, at most 1000."""
+    if len(ids) > MANY_LIMIT:
+        raise ValueError("TooManyResults")
     wanted = blocks.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
     hits = blocks.join(F.broadcast(wanted), "id", "left_semi").select("id").distinct().withColumn("present", F.lit(True))
     return wanted.join(hits, "id", "left").select("id", F.coalesce("present", F.lit(False)).alias("present"))
@@ -60,14 +66,11 @@ def incoming(edges: DataFrame, ident: str) -> DataFrame:
 
 
 def live_edges(edges: DataFrame, live: DataFrame) -> DataFrame:
-    """Distinct edges whose both ends are live now."""
-    ids = live.select("id").distinct()
-    return (
-        edges.dropDuplicates(["src", "dst", "edge_type"])
-        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select("src", "dst", "edge_type")
-    )
+    """Distinct edges whose both ends are live now. The live ids are found once and written."""
+    ids = table(live.select("id"), "live")
+    n = ids.count()
+    ends = [if_small(ids.withColumnRenamed("id", c), n) for c in ("src", "dst")]
+    return edges.select("src", "dst", "edge_type").join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst", "edge_type").distinct()
 
 
 def next_sequence(blocks: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -86,18 +89,6 @@ def put_blocks(log: DataFrame, tombstones: DataFrame, new: DataFrame) -> tuple[D
     return log.unionByName(good.select(*log.columns)), checked.filter(F.size("errors") > 0).select("id", "errors")
 
 
-def ranked(df: DataFrame, order: str) -> DataFrame:
-    """df with a 0-based rank by a column: range partitions are sorted, counted, and offset by the counts before them."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    from weftgraph.session import table
-
-    parts = table(parts, "ranked")
-    counts = parts.groupBy("_p").agg(F.count("*").alias("c"), F.min("_m").alias("first"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    offsets = counts.withColumn("offset", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    return parts.join(F.broadcast(offsets), "_p").withColumn("rank", F.col("_m") - F.col("first") + F.col("offset")).drop("_p", "_m", "c", "first", "offset")
-
-
 def delete(tombstones: DataFrame, log: DataFrame, ids: Sequence[str], now_us: int) -> DataFrame:
     """Tombstones with one more per id at the next sequences; ids need not exist."""
     start = next_sequence(log, tombstones).first()[0]

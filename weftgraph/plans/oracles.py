@@ -57,7 +57,7 @@ def _words(words: list[str], threshold: float, tail: str) -> str:
 
 _CONTEXT = """ws AS (SELECT id FROM blocks WHERE json_extract_string(metadata_json, '$.codebase') = 'ASIA'),
 anchors AS (SELECT id FROM ws WHERE id = 'region:2' UNION SELECT id FROM blocks WHERE json_extract_string(metadata_json, '$.codebase') = 'ASIA'
-  AND json_extract_string(metadata_json, '$.unit_type') = 'type' AND content = 'INDIA'),
+  AND json_extract_string(metadata_json, '$.unit_type') = 'type' AND content = 'NATION_2'),
 one AS (SELECT src AS id, 1 AS depth FROM edges WHERE edge_type = 'defined_in' AND dst IN (SELECT id FROM anchors) AND src IN (SELECT id FROM ws)),
 two(id, depth) AS (SELECT id, 0 FROM anchors UNION SELECT dst, depth + 1 FROM two JOIN edges ON src = two.id WHERE depth < 2 AND dst IN (SELECT id FROM ws)),
 nodes AS (SELECT id, min(depth)::INT AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY id)"""
@@ -79,12 +79,19 @@ UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'), 'Region', 'type', N
 UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'), 'Region.name', 'function', 'Region', 2, 2, 1, 'pub fn name() void {}' FROM region
 UNION ALL SELECT concat('src/region/', r_regionkey, '.zig'), concat('region_', r_regionkey), 'function', NULL, 4, 6, 0, concat('pub fn region_', r_regionkey, '() void {', chr(10), '    // ', r_name, chr(10), '}') FROM region)"""
 
+#: Of each node before the target, its least shortest path from part:1.
+_PATHS = """walk(id, depth, path) AS (SELECT 'part:1', 0, ['part:1'] UNION ALL
+  SELECT dst, depth + 1, list_append(path, dst) FROM walk JOIN edges ON src = walk.id WHERE depth < 3),
+first AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id), hit AS (SELECT path, depth, path[-2] AS via FROM walk WHERE id = 'part:150'),
+best AS (SELECT via, min((hit.depth, path)) AS b FROM hit JOIN first ON first.id = via AND hit.depth = first.depth + 1 GROUP BY via)"""
+
 
 def _ingestion() -> dict[str, str]:
     doc = _with(None, "documents")
     lines = "len(content) - len(replace(content, chr(10), '')) + 1"
     info = _with(None, "units", "i AS (SELECT id, source_uri AS uri, content AS preview, strlen(metadata_json)::BIGINT AS metadata_size FROM blocks)")
     return {
+        "ingest_files": f"SELECT CASE WHEN path LIKE 'src/customer/%' THEN 'c.zig' ELSE 'r.zig' END AS kind, content FROM ({t.oracle(t.FILES)}) WHERE path NOT LIKE 'src/nation/%'",
         "ingest_units": f"WITH {_UNITS_OF} SELECT path, unit, kind, parent, line_start::INT AS line_start, line_end::INT AS line_end, n_edges::INT AS n_edges FROM u",
         "ingest_blocks": f"WITH {_UNITS_OF} SELECT sha256('w' || chr(31) || path || ':' || unit || chr(31) || line_start)[1:32] AS id, concat('file://', path, '#L', line_start, '-', line_end) AS source_uri, path || ':' || unit AS unit_id, content FROM u",
         "ingest_edges": f"SELECT caller, edge_type, callee FROM {_EDGES_OF}",
@@ -127,6 +134,9 @@ def oracle_sql() -> dict[str, str]:
         "live_edges": _V + _LIVE_UE,
         "invalid_edges": _V + """SELECT src, dst, CASE WHEN s AND d THEN 'source_missing,target_missing' WHEN s THEN 'source_missing' ELSE 'target_missing' END AS errors
 FROM (SELECT *, src NOT IN (SELECT id FROM live) AS s, dst NOT IN (SELECT id FROM live) AS d FROM ue) WHERE s OR d""",
+        "put_edges": _V + f"SELECT src, dst, edge_type FROM ue WHERE src < 'user:2' UNION {_LIVE_UE}",
+        "remove_edge": "SELECT concat('nation:', n_nationkey) AS src, concat('region:', n_regionkey) AS dst, 'defined_in' AS edge_type FROM nation WHERE NOT (n_nationkey = 3 AND n_regionkey = 3)",
+        "flush_sorted": _V + "SELECT id, sequence, source_uri FROM live",
         "shadowed": _V + "SELECT id, sequence, source_uri FROM b WHERE EXISTS (SELECT 1 FROM tomb WHERE tomb.id = b.id AND tomb.sequence > b.sequence)",
         "tombstone_gc": _V + f"SELECT id, sequence, {_EXPIRED} AS expired FROM tomb",
         "next_sequence": _V + "SELECT (1 + greatest((SELECT max(sequence) FROM b), (SELECT max(sequence) FROM tomb)))::BIGINT AS next_sequence",
@@ -135,6 +145,7 @@ FROM (SELECT *, src NOT IN (SELECT id FROM live) AS s, dst NOT IN (SELECT id FRO
         "compact_edges": _V + _LIVE_UE,
         "block_info": _with(None, "units") + "SELECT id, source_uri[:256] AS uri, content[:256] AS preview, strlen(metadata_json)::BIGINT AS metadata_size FROM blocks",
         "batch_upsert": _V + ", " + _BATCH + " SELECT id, sequence::BIGINT AS sequence, content FROM judged WHERE NOT skip",
+        "batch_overwrite": _V + ", " + _BATCH + " SELECT id, sequence::BIGINT AS sequence, content FROM judged",
         "batch_statistics": _V + ", " + _BATCH + """ SELECT 60::BIGINT AS submitted, (60 - count(*))::BIGINT AS duplicates, count(*) FILTER (skip) AS conflicts, count(*) FILTER (NOT skip) AS written,
   ((60 - count(*) + count(*) FILTER (skip)) * 100 // 60)::BIGINT AS dedup_percent, count(*) FILTER (NOT skip) * 100.0::DOUBLE / 60 AS success_percent FROM judged""",
         "filter_numeric": doc + "SELECT id FROM blocks WHERE strlen(content) > 2000",
@@ -149,9 +160,10 @@ WHERE CASE WHEN regexp_matches(v, '{_NUM}') THEN try_cast(v AS DOUBLE) > 50 ELSE
   count(*) FILTER (content = 'view') > 150 AS has_more FROM blocks""",
         "edge_filter": _with("trade") + "SELECT edge_type, count(*) AS n FROM edges WHERE edge_type NOT IN ('contains', 'depends_on') GROUP BY 1",
         "workspace_filter": doc + f"SELECT id FROM blocks WHERE {lang} = 'fr'",
-        "find_by_name": _with(None, "units", _UNIT) + """SELECT id FROM u WHERE ws = 'ASIA' AND ((kind = 'function' AND len(p) > 1 AND p[-1] = 'Customer#000000007') OR (kind = 'type' AND len(p) > 1 AND p[-1] = 'INDIA'))""",
-        "find_by_qualified_name": _with(None, "units", _UNIT) + "SELECT id FROM u WHERE ws = 'EUROPE' AND kind = 'function' AND len(p) > 2 AND p[-2] = 'FRANCE' AND p[-1] = 'Customer#000000018'",
+        "find_by_name": _with(None, "units", _UNIT) + """SELECT id FROM u WHERE ws = 'ASIA' AND ((kind = 'function' AND len(p) > 1 AND p[-1] = 'Customer#000000007') OR (kind = 'type' AND len(p) > 1 AND p[-1] = 'NATION_2'))""",
+        "find_by_qualified_name": _with(None, "units", _UNIT) + "SELECT id FROM u WHERE ws = 'AFRICA' AND kind = 'function' AND len(p) > 2 AND p[-2] = 'NATION_10' AND p[-1] = 'Customer#000000003'",
         "find_by_file_path": _with(None, "units", _UNIT) + "SELECT id FROM u WHERE ws = 'EUROPE' AND path = 'src/geo.zig'",
+        "structured_query": _with(None, "units", _UNIT) + "SELECT id FROM u WHERE ws = 'ASIA' AND kind = 'function' AND len(p) > 1 AND p[-1] = 'Customer#000000007'",
         "keyword_search": _words(q.MIXED.split(" "), 0.6, "ORDER BY s DESC, id LIMIT 100"),
         "keyword_all": _words("idiot  clown the".split(" "), 0.5, ""),
         "bfs_incoming": _bfs("trade", q.START, "incoming", 3),
@@ -166,24 +178,34 @@ WHERE CASE WHEN regexp_matches(v, '{_NUM}') THEN try_cast(v AS DOUBLE) > 50 ELSE
   SELECT src, depth + 1, cost + CASE edge_type WHEN 'defined_in' THEN 1.0 WHEN 'references' THEN 2.0 ELSE 4.0 END FROM walk JOIN edges ON dst = walk.id WHERE depth < 3)""") + "SELECT id, min(cost) AS cost FROM walk GROUP BY id",
         "bidirectional_search": _bfs("parts", "part:1", "outgoing", 2),
         "meet_in_middle": _bfs("parts", "part:1", "outgoing", 6, tail="SELECT depth AS hops FROM reach WHERE id = 'part:150'"),
-        "strongly_connected": _with("event_types", None, "r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, dst FROM r JOIN edges ON src = r.b), n AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)")
-        + "SELECT n.id, least(n.id, min(x.b)) AS component FROM n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r AS s ON s.a = r.b AND s.b = r.a) AS x ON x.a = n.id GROUP BY n.id",
+        "strongly_connected": "WITH n AS (SELECT *, concat('turn:', conv_id, ':', turn) AS id FROM conversations), e AS (SELECT conv_id, min(turn) AS first FROM n GROUP BY conv_id) "
+        "SELECT DISTINCT id, min(id) OVER (PARTITION BY conv_id) AS component FROM n "
+        "UNION SELECT x, x FROM (SELECT concat('turn:', conv_id + 1, ':', first) AS x FROM e) WHERE x NOT IN (SELECT id FROM n)",
         "topological_sort": _with("trade", None, "walk(id, level) AS (SELECT 'order:1', 0 UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = walk.id WHERE level < 8)") + "SELECT id, max(level)::INT AS level FROM walk GROUP BY id",
         "topological_cycle": "SELECT ''::VARCHAR AS id, 0::INT AS level WHERE false",
-        "has_cycle": _with("event_types", None, "r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, dst FROM r JOIN edges ON src = r.b)") + "SELECT count(*) > 0 AS has_cycle FROM r WHERE a = b AND (a = 'view' OR a IN (SELECT b FROM r WHERE a = 'view'))",
-        "paths_between": _with("trade", None, """walk(id, depth, path) AS (SELECT 'order:1', 0, ['order:1'] UNION ALL
-  SELECT dst, depth + 1, list_append(path, dst) FROM walk JOIN edges ON src = walk.id WHERE depth < 4),
-first AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id), hit AS (SELECT path, depth, path[-2] AS via FROM walk WHERE id = 'region:1'),
-best AS (SELECT via, min((hit.depth, path)) AS b FROM hit JOIN first ON first.id = via AND hit.depth = first.depth + 1 GROUP BY via)""")
-        + "SELECT array_to_string(b[2], '>') AS path, b[1]::INT AS hops FROM best",
+        "has_cycle": _with("event_types", None, "r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, dst FROM r JOIN edges ON src = r.b)") + "SELECT count(*) > 0 AS has_cycle, 'event_types' AS graph FROM r WHERE a = b AND (a = 'view' OR a IN (SELECT b FROM r WHERE a = 'view')) UNION ALL SELECT false, 'trade'",
+        "paths_between": _with("parts", None, _PATHS) + "SELECT array_to_string(b[2], '>') AS path, b[1]::INT AS hops FROM best ORDER BY b[1], b[2] LIMIT 100",
+        "paths_over": _with("parts", None, _PATHS) + "SELECT array_to_string(b[2], '>') AS path, b[1]::INT AS hops FROM best ORDER BY b[1], b[2] LIMIT 100",
+        "dfs_tree": _with("trade", None, """walk(id, depth, path) AS (SELECT 'region:2', 0, ['region:2'] UNION ALL
+  SELECT src, depth + 1, list_append(path, src) FROM walk JOIN edges ON dst = walk.id WHERE depth < 2 AND edge_type = 'defined_in')""")
+        + "SELECT (row_number() OVER (ORDER BY list_append(path, chr(1114111)) DESC) - 1)::INT AS ord, id, depth, array_to_string(path, '>') AS path FROM walk",
+        "traverse_dispatch": _with("trade", None, _reach("order:1", "outgoing", 4))
+        + "SELECT a AS algorithm, id FROM reach, (VALUES ('breadth_first', 4), ('depth_first', 4), ('astar', 4), ('bidirectional', 2), ('topological', 4)) AS v(a, most) WHERE depth <= most UNION ALL SELECT 'strongly_connected', 'order:1'",
         "find_callers": _bfs("trade", "nation:1", "incoming", 3, kind="units", tail=_IN_WS.format("AMERICA")),
-        "find_callees": _bfs("trade", "order:1", "outgoing", 4, kind="units", tail=_IN_WS.format("ASIA")),
+        "find_callees": _bfs("trade", "customer:3", "outgoing", 4, kind="units", tail=_IN_WS.format("AFRICA")),
         "find_references": _bfs("trade", "region:3", "bidirectional", 3, kind="units", tail=_IN_WS.format("EUROPE")),
-        "k_hop": _with("event_types", None, "walk(id, depth) AS (SELECT dst, 1 FROM edges WHERE src = 'view' UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = walk.id WHERE depth < 2)") + "SELECT DISTINCT id FROM walk",
-        "can_reach": _bfs("trade", "nation:1", "outgoing", 10, "edge_type = 'defined_in'", tail="SELECT count(*) > 0 AS reachable FROM reach WHERE id = 'region:1'"),
+        "k_hop": _with("parts", None, "walk(id, depth) AS (SELECT dst, 1 FROM edges WHERE src = 'part:1' UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = walk.id WHERE depth < 2)") + "SELECT DISTINCT id FROM walk",
+        "can_reach": _bfs("trade", "nation:1", "outgoing", 10, "edge_type = 'defined_in'", tail="SELECT count(*) > 0 AS reachable, 'region:1' AS target FROM reach WHERE id = 'region:1' UNION ALL SELECT count(*) > 0, 'region:2' FROM reach WHERE id = 'region:2'"),
         "traversal_summary": _bfs("turns", "turn:3:0", "outgoing", 10, tail="SELECT count(*) AS blocks_traversed, max(depth)::INT AS max_depth_reached FROM reach"),
         "context_nodes": _with("trade", "units", _CONTEXT) + "SELECT id, depth FROM nodes",
         "context_edges": _with("trade", "units", _CONTEXT) + "SELECT DISTINCT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)",
+        "context_metrics": _with("trade", "units", _CONTEXT) + "SELECT count(*) AS nodes, max(depth) AS max_depth, count(*) FILTER (depth = 0) AS anchors FROM nodes",
+        "context_utilization": _with("trade", "units", _CONTEXT) + """SELECT n AS node_count, e AS edge_count, n * 100 // 10000 AS node_percent, e * 100 // 40000 AS edge_percent
+FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)) AS e)""",
+        "context_neighbours": _with("trade", "units", _CONTEXT) + """SELECT DISTINCT dst AS id, 'out' AS way FROM edges WHERE src = 'nation:2' AND dst IN (SELECT id FROM nodes)
+UNION ALL SELECT DISTINCT src, 'in' FROM edges WHERE dst = 'nation:2' AND src IN (SELECT id FROM nodes)""",
+        "context_dangling": _with("trade", "units", _CONTEXT) + """SELECT src, dst, edge_type, CASE WHEN src NOT IN (SELECT id FROM nodes) THEN 'source' ELSE 'target' END AS missing
+FROM edges WHERE edge_type = 'defined_in' AND (src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes))""",
         "metadata_index": doc + "SELECT DISTINCT json_extract_string(metadata_json, '$.source') AS value, id FROM blocks",
         "metadata_values": ev + "SELECT DISTINCT json_extract_string(metadata_json, '$.k') AS value FROM blocks",
         "index_stats": doc + """SELECT count(*) AS unique_values, sum(n)::BIGINT AS total_blocks, max(n) AS max_per_value, count(*)::DOUBLE / sum(n) AS selectivity,
@@ -191,6 +213,9 @@ best AS (SELECT via, min((hit.depth, path)) AS b FROM hit JOIN first ON first.id
         "degree": _with("trade") + "SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id",
         "workspace_stats": _with("trade", "units") + """SELECT ws AS codebase, count(*) AS block_count, coalesce(sum(e), 0)::BIGINT AS edge_count, (count(*) * 2048 + coalesce(sum(e), 0) * 64)::BIGINT AS estimated_bytes
 FROM (SELECT id, json_extract_string(metadata_json, '$.codebase') AS ws FROM blocks) LEFT JOIN (SELECT src AS id, count(*) AS e FROM edges GROUP BY 1) USING (id) WHERE ws IS NOT NULL GROUP BY ws""",
+        "storage_stats": _V + "SELECT (SELECT count(*) FROM b) AS versions, (SELECT count(*) FROM live) AS live_blocks, (SELECT count(*) FROM ue) AS edges, (SELECT sum(strlen(content))::BIGINT FROM live) AS content_bytes",
+        "memory_pressure": _with("trade", "units") + """SELECT ws AS codebase, CASE WHEN x >= 0.8 THEN 'high' WHEN x >= 0.5 THEN 'medium' ELSE 'low' END AS pressure
+FROM (SELECT ws, (count(*) * 2048 + coalesce(sum(e), 0) * 64)::DOUBLE / 819200 AS x FROM (SELECT id, json_extract_string(metadata_json, '$.codebase') AS ws FROM blocks) LEFT JOIN (SELECT src AS id, count(*) AS e FROM edges GROUP BY 1) USING (id) WHERE ws IS NOT NULL GROUP BY ws)""",
         "latency_stats": """SELECT event_type, count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
   round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type""",
         "formats": f"""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) WHEN b < 1073741824 THEN printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) ELSE printf('%.1f GB', round(b / 1073741824.0::DOUBLE, 1)) END AS bytes,

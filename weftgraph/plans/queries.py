@@ -20,7 +20,7 @@ from weftgraph.streaming import replay
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 #: Fixed points in time and ids of the queries.
-NOW_US, IDS = 6_000_000_000 * 10**6 // 1000, ("user:7", "user:1", "user:7", "user:99999999", "user:3")
+NOW_US, IDS = 22_100_000_000, ("user:7", "user:1", "user:7", "user:99999999", "user:3")
 START, MIXED = "nation:3", "a the on"
 
 
@@ -100,7 +100,7 @@ def _user_edges(spark, d) -> DataFrame:
 
 USER_EDGES = """
 SELECT DISTINCT concat('user:', user_id) AS src, concat('user:', nxt) AS dst, 'calls' AS edge_type FROM (
-  SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM {events}) AS e WHERE nxt IS NOT NULL AND nxt <> user_id"""
+  SELECT user_id, lead(user_id) OVER (PARTITION BY event_type, floor(event_id / 512) ORDER BY ts, event_id) AS nxt FROM {events}) AS e WHERE nxt IS NOT NULL AND nxt <> user_id"""
 
 
 @query
@@ -114,6 +114,26 @@ def invalid_edges(spark, d):
     return checked.select("src", "dst", F.array_join("errors", ",").alias("errors"))
 
 
+@query
+def put_edges(spark, d):
+    """What is valid of the users' edges, put to those that end in a first few users."""
+    every = _user_edges(spark, d)
+    return store.put_edges(every.filter("src < 'user:2'"), every, _live(spark, d))[0]
+
+
+@query
+def remove_edge(spark, d):
+    return store.remove_edge(t.edges(spark, d, "trade"), "nation:3", "region:3", "defined_in").filter(F.col("src").startswith("nation:"))
+
+
+@query
+def flush_sorted(spark, d):
+    """The live blocks, written in id order and read again."""
+    where = f"{shared_folder(spark)}/weft-flush-{uuid.uuid4().hex}"
+    store.write_sorted(_live(spark, d), where)
+    return _row(spark.read.parquet(where))
+
+
 @query
 def shadowed(spark, d):
     return _row(store.shadowed(t.blocks(spark, d, "versions"), t.tombstones(spark, d)))
@@ -155,6 +175,11 @@ def batch_upsert(spark, d):
     return store.batch_upsert(_live(spark, d), _batch(spark, d))[0].select("id", "sequence", "content")
 
 
+@query
+def batch_overwrite(spark, d):
+    return store.batch_upsert(_live(spark, d), _batch(spark, d), "overwrite")[0].select("id", "sequence", "content")
+
+
 @query
 def batch_statistics(spark, d):
     return store.batch_upsert(_live(spark, d), _batch(spark, d))[1]
@@ -231,12 +256,12 @@ def workspace_filter(spark, d):
 @query
 def find_by_name(spark, d):
     return search.by_name(t.blocks(spark, d, "units"), "ASIA", "function", "Customer#000000007").select("id").unionByName(
-        search.by_name(t.blocks(spark, d, "units"), "ASIA", "struct", "INDIA").select("id"))
+        search.by_name(t.blocks(spark, d, "units"), "ASIA", "struct", "NATION_2").select("id"))
 
 
 @query
 def find_by_qualified_name(spark, d):
-    return search.by_name(t.blocks(spark, d, "units"), "EUROPE", "function", "FRANCE.Customer#000000018").select("id")
+    return search.by_name(t.blocks(spark, d, "units"), "AFRICA", "function", "NATION_10.Customer#000000003").select("id")
 
 
 @query
@@ -244,6 +269,12 @@ def find_by_file_path(spark, d):
     return search.by_path(t.blocks(spark, d, "units"), "EUROPE", "src/geo.zig").select("id")
 
 
+@query
+def structured_query(spark, d):
+    asked = search.structured("workspace:ASIA type:function name:Customer#000000007")
+    return search.by_name(t.blocks(spark, d, "units"), asked["workspace"], asked["type"], asked["name"]).select("id")
+
+
 @query
 def keyword_search(spark, d):
     """The best 100: the limit is the feature."""
@@ -310,7 +341,14 @@ def meet_in_middle(spark, d):
 
 @query
 def strongly_connected(spark, d):
-    return traversal.strongly_connected(t.edges(spark, d, "event_types"))
+    """A component for each conversation."""
+    return traversal.strongly_connected(t.edges(spark, d, "rings"))
+
+
+@query
+def strongly_connected_parts(spark, d):
+    """A large cyclic graph; beyond SQL, tests hold the operator against a sequential model."""
+    return traversal.strongly_connected(t.edges(spark, d, "parts"))
 
 
 @query
@@ -325,12 +363,20 @@ def topological_cycle(spark, d):
 
 @query
 def has_cycle(spark, d):
-    return traversal.has_cycle(t.edges(spark, d, "event_types"), "view", 5)
+    """A graph with cycles and one without."""
+    cyclic = traversal.has_cycle(t.edges(spark, d, "event_types"), "view", 5).withColumn("graph", F.lit("event_types"))
+    return cyclic.unionByName(traversal.has_cycle(t.edges(spark, d, "trade"), "order:1", 5).withColumn("graph", F.lit("trade")))
 
 
 @query
 def paths_between(spark, d):
-    return traversal.paths_between(t.edges(spark, d, "trade"), "order:1", "region:1", 4).select(F.array_join("path", ">").alias("path"), "hops")
+    return traversal.paths_between(t.edges(spark, d, "parts"), "part:1", "part:150", 3, 100).select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query
+def paths_over(spark, d):
+    """The depth bounds the node before the target."""
+    return traversal.paths_between(t.edges(spark, d, "parts"), "part:1", "part:150", 2, 100, over=True).select(F.array_join("path", ">").alias("path"), "hops")
 
 
 @query
@@ -340,7 +386,7 @@ def find_callers(spark, d):
 
 @query
 def find_callees(spark, d):
-    return traversal.callees(t.edges(spark, d, "trade"), t.blocks(spark, d, "units"), "ASIA", "order:1", 4)
+    return traversal.callees(t.edges(spark, d, "trade"), t.blocks(spark, d, "units"), "AFRICA", "customer:3", 4)
 
 
 @query
@@ -350,12 +396,15 @@ def find_references(spark, d):
 
 @query
 def k_hop(spark, d):
-    return traversal.k_hop(t.edges(spark, d, "event_types"), "view", 2)
+    return traversal.k_hop(t.edges(spark, d, "parts"), "part:1", 2)
 
 
 @query
 def can_reach(spark, d):
-    return traversal.can_reach(t.edges(spark, d, "trade"), "nation:1", "region:1", "defined_in", 10)
+    """A region that the nation is in, and one that it is not."""
+    edges = t.edges(spark, d, "trade")
+    return traversal.can_reach(edges, "nation:1", "region:1", "defined_in", 10).withColumn("target", F.lit("region:1")).unionByName(
+        traversal.can_reach(edges, "nation:1", "region:2", "defined_in", 10).withColumn("target", F.lit("region:2")))
 
 
 @query
@@ -365,13 +414,32 @@ def traversal_summary(spark, d):
 
 @query
 def dfs(spark, d):
-    """Order-dependent; tests hold it against a sequential model."""
-    return traversal.dfs(t.edges(spark, d, "parts"), "part:1", depth=3, limit=200)
+    """All that depth 3 reaches, in an order that hangs on what was visited before; tests hold it against a sequential model."""
+    return traversal.dfs(t.edges(spark, d, "parts"), "part:1", depth=3, limit=traversal.MAX_RESULTS)
+
+
+@query
+def dfs_tree(spark, d):
+    """A region's nations, customers and suppliers: in a tree SQL can tell the order."""
+    found = traversal.dfs(t.edges(spark, d, "trade"), "region:2", "incoming", depth=2, limit=traversal.MAX_RESULTS, keep=F.col("edge_type") == "defined_in")
+    return found.select("ord", "id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query
+def traverse_dispatch(spark, d):
+    """What each algorithm finds from one order."""
+    edges = t.edges(spark, d, "trade")
+    out = None
+    for name in ("breadth_first", "depth_first", "astar", "bidirectional", "topological", "strongly_connected"):
+        kw = {"limit": traversal.MAX_RESULTS} if name == "depth_first" else {}
+        found = traversal.traverse(edges, "order:1", name, depth=4, **kw).select(F.lit(name).alias("algorithm"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 # Context, statistics, formats.
 def _context(spark, d):
-    anchors = (context.Anchor("entity_name", "INDIA", "type"), context.Anchor("block_id", "region:2"))
+    anchors = (context.Anchor("entity_name", "NATION_2", "type"), context.Anchor("block_id", "region:2"))
     rules = (context.Rule("incoming", ("defined_in",), 1, 10_000), context.Rule("outgoing", (), 2, 100))
     return context.run(context.ContextQuery("ASIA", anchors, rules, 10_000), t.blocks(spark, d, "units"), t.edges(spark, d, "trade"))
 
@@ -386,6 +454,31 @@ def context_edges(spark, d):
     return _context(spark, d)[1]
 
 
+@query
+def context_metrics(spark, d):
+    return _context(spark, d)[2]
+
+
+@query
+def context_utilization(spark, d):
+    nodes, edges, _ = _context(spark, d)
+    return context.utilization(nodes, edges, 10_000, 40_000)
+
+
+@query
+def context_neighbours(spark, d):
+    """Inside the context graph, along and against the edges."""
+    edges = _context(spark, d)[1]
+    return context.neighbours(edges, "nation:2").withColumn("way", F.lit("out")).unionByName(context.neighbours(edges, "nation:2", incoming=True).withColumn("way", F.lit("in")))
+
+
+@query
+def context_dangling(spark, d):
+    """The whole graph's edges against the context's nodes."""
+    edges = t.edges(spark, d, "trade").filter("edge_type = 'defined_in'")
+    return context.dangling(_context(spark, d)[0], edges)
+
+
 @query
 def metadata_index(spark, d):
     return stats.metadata_index(t.blocks(spark, d, "documents"), "source")
@@ -411,6 +504,17 @@ def workspace_stats(spark, d):
     return stats.workspace_statistics(t.blocks(spark, d, "units"), t.edges(spark, d, "trade"))
 
 
+@query
+def storage_stats(spark, d):
+    return stats.storage_statistics(t.blocks(spark, d, "versions"), _live(spark, d), _user_edges(spark, d))
+
+
+@query
+def memory_pressure(spark, d):
+    per = stats.workspace_statistics(t.blocks(spark, d, "units"), t.edges(spark, d, "trade"))
+    return per.select("codebase", stats.memory_pressure(F.col("estimated_bytes"), F.lit(2048 * 400)).alias("pressure"))
+
+
 @query
 def latency_stats(spark, d):
     return stats.latency_summary(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value").select("event_type", "n", "min", "max", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95", "p99", "std")])
@@ -427,6 +531,18 @@ def _units(spark, d) -> DataFrame:
     return ingest.units(t.rows(spark, d, t.FILES))
 
 
+@query
+def ingest_files(spark, d):
+    """The source texts as files of one folder, most of them of a kind that is not taken, read by the directory ingest."""
+    where = f"{shared_folder(spark)}/weft-files-{uuid.uuid4().hex}"
+    rows = t.rows(spark, d, t.FILES).select("content", F.substring_index("path", "/", -2).alias("name"))
+    # Spark's text writer names its files itself; their folders say which files are meant.
+    kind = F.when(F.col("name").startswith("customer"), "c.zig").when(F.col("name").startswith("nation"), "skip").otherwise("r.zig")
+    rows.select(F.col("content").alias("value"), kind.alias("kind")).write.partitionBy("kind").option("lineSep", "\0").text(where)
+    found = ingest.files(spark, where, ["kind=c.zig", "kind=r"], ["skip"])
+    return found.select(F.regexp_extract("path", "kind=([^/]*)", 1).alias("kind"), F.explode(F.split("content", "\0")).alias("content")).filter("content <> ''")
+
+
 @query
 def ingest_units(spark, d):
     return _units(spark, d).select("path", "unit", "kind", "parent", "line_start", "line_end", F.size("edges").alias("n_edges"))

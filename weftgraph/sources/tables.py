@@ -24,6 +24,12 @@ SELECT DISTINCT event_type AS src, nxt AS dst, 'calls' AS edge_type FROM (
     "parts": """
 SELECT DISTINCT concat('part:', l_partkey) AS src, concat('part:', nxt) AS dst, 'references' AS edge_type FROM (
   SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM {lineitem}) AS l WHERE nxt IS NOT NULL AND nxt <> l_partkey""",
+    # Each conversation's turns in a ring, and conversations in a row: many strong components.
+    "rings": """
+SELECT concat('turn:', a.conv_id, ':', a.turn) AS src, concat('turn:', a.conv_id, ':', a.turn + 1) AS dst, 'calls' AS edge_type
+FROM {conversations} AS a JOIN {conversations} AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+UNION SELECT concat('turn:', conv_id, ':', max(turn)), concat('turn:', conv_id, ':', min(turn)), 'calls' FROM {conversations} GROUP BY conv_id
+UNION SELECT concat('turn:', conv_id, ':', min(turn)), concat('turn:', conv_id + 1, ':', min(turn)), 'references' FROM {conversations} GROUP BY conv_id""",
     "turns": """
 SELECT concat('turn:', a.conv_id, ':', a.turn) AS src, concat('turn:', a.conv_id, ':', a.turn + 1) AS dst, 'calls' AS edge_type
 FROM {conversations} AS a JOIN {conversations} AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
@@ -75,7 +81,7 @@ SELECT 'put' AS kind, concat('user:', user_id) AS id, event_id + 1 AS sequence,
   CAST(NULL AS BIGINT) AS deletion_ts_us, CAST(NULL AS VARCHAR(10)) AS dst, CAST(NULL AS VARCHAR(10)) AS edge_type FROM {events} WHERE event_type <> 'error'
 UNION ALL SELECT 'delete', concat('user:', user_id), event_id + 1, NULL, NULL, NULL, (event_id + 1) * 1000000, NULL, NULL FROM {events} WHERE event_type = 'error'
 UNION ALL SELECT 'edge', concat('user:', user_id), NULL, NULL, NULL, NULL, NULL, concat('user:', nxt), 'calls' FROM (
-  SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM {events}) AS e WHERE nxt IS NOT NULL"""
+  SELECT user_id, lead(user_id) OVER (PARTITION BY event_type, floor(event_id / 512) ORDER BY ts, event_id) AS nxt FROM {events}) AS e WHERE nxt IS NOT NULL"""
 
 #: Blocks of which many break a write rule.
 FAULTY = """

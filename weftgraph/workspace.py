@@ -277,7 +277,7 @@ class Database:
 
     def status(self) -> tuple[dict[str, int], list[Row]]:
         """Totals, and (name, path, sync_status, last_sync, size, block_count, edge_count) of each workspace."""
-        totals = stats.storage_statistics(self.versions(), self.blocks(), self.edges())
+        totals = stats.storage_statistics(self.versions(), self.blocks(), self.edges()).first().asDict()
         now = int(self.clock())
         rows = self.spark.createDataFrame([tuple(r) for r in self.workspaces()], _CATALOG)
         size = fmt.format_bytes(F.col("block_count") * 2048 + F.col("edge_count") * 64)
