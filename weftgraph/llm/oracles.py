@@ -36,8 +36,9 @@ def _lit(x: str) -> str:
 
 _PASSES = f"""
 regexp_matches(line, {_lit(q.END)}) AND NOT regexp_matches(line, {_lit(q.STACKED)}) AND NOT regexp_matches(line, {_lit(q.MENU)})
-AND 100 * (length(line) - length(translate(line, {_lit(q.SYMBOLS)}, ''))) <= {q.MAX_SYMBOL_PERCENT} * length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))
-AND NOT regexp_matches(lower(line), {_lit(q.BOILERPLATE)})
+AND 100 * len(regexp_extract_all(line, {_lit(q.SYMBOL)})) <= {q.MAX_SYMBOL_PERCENT} * length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))
+AND NOT (regexp_matches(lower(line), {_lit(q.BOILERPLATE)})
+  AND 100 * (length(lower(line)) - length(regexp_replace(lower(line), {_lit(q.BOILERPLATE)}, '', 'g'))) >= {q.MIN_BOILERPLATE_PERCENT} * length(lower(line)))
 """
 
 _QUALITY = rf"""
@@ -52,7 +53,7 @@ judged AS (
   SELECT rid, sum(n - 1) AS dups, sum(CASE WHEN {_PASSES} THEN length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) ELSE 0 END) AS good FROM wl GROUP BY rid
 ), base AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-    (length(t) - length(translate(t, {_lit(q.SYMBOLS)}, '')))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+    len(regexp_extract_all(t, {_lit(q.SYMBOL)}))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
     coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(good, 0)::BIGINT AS good
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN judged USING (rid)
 ), f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)

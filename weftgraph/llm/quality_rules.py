@@ -18,30 +18,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT
+from .common import WORD, WORD_SPLIT
 
-SPACES = " \t\n\u000b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = "[\\x20\\x09-\\x0D]"
+SYMBOL = "[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 40
 MAX_SYMBOL_PERCENT = 8
+#: A line is boilerplate when such wording makes up this much of its characters.
+MIN_BOILERPLATE_PERCENT = 10
 #: Patterns that Java and RE2 read alike. A line fails the punctuation rule if END does not match or STACKED does.
 END = "[.!?:;…\"'”’»)\\]][\\x20\\x09-\\x0D]*$"
 STACKED = "[!?]{2,}([\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]+)?[\\x20\\x09-\\x0D]*$"
 MENU = "[|>»•·]([^|>»•·]*[|>»•·]){2}"
+#: Fixed wordings, grouped by their first letters: each is tried only where one may begin.
 BOILERPLATE = (
-    "all rights reserved|licensed under|released under the|this work is licensed|privacy policy|terms of (use|service)"
-    "|cookie|javascript|sign (in|up)|log in|subscribe|click here|read more|skip to (content|main)|share this|powered by"
+    "a(ll rights reserved)|l(icensed under|og in)|r(eleased under the|ead more)|t(his work is licensed|erms of (use|service))|p(rivacy policy|owered by)"
+    "|c(ookies?|lick here)|j(avascript)|s(ign (in|up)|ubscribe|kip to (content|main)|hare this)"
 )
+BOILERPLATE = f"(^|[^a-z])({BOILERPLATE})"
 
 
 def _chars(x: Column) -> Column:
-    return F.char_length(F.translate(x, SPACES, "")).cast("bigint")
+    """Code points other than spaces."""
+    return (F.char_length(x) - F.coalesce(F.regexp_count(x, F.lit(SPACE)), F.lit(0))).cast("bigint")
 
 
 def _symbols(x: Column) -> Column:
-    return (F.char_length(x) - F.char_length(F.translate(x, SYMBOLS, ""))).cast("bigint")
+    return F.coalesce(F.regexp_count(x, F.lit(SYMBOL)), F.lit(0)).cast("bigint")
+
+
+def _boilerplate(line: Column) -> Column:
+    low = F.lower(line)
+    rest = F.char_length(F.regexp_replace(low, BOILERPLATE, ""))
+    return low.rlike(BOILERPLATE) & ((F.char_length(low) - rest) * 100 >= F.char_length(low) * MIN_BOILERPLATE_PERCENT)
 
 
 def line_passes(line: Column) -> Column:
@@ -50,8 +61,8 @@ def line_passes(line: Column) -> Column:
         line.rlike(END)
         & ~line.rlike(STACKED)
         & ~line.rlike(MENU)
-        & (_symbols(line) * 100 <= _chars(line) * MAX_SYMBOL_PERCENT)
-        & ~F.lower(line).rlike(BOILERPLATE)
+        & (~line.rlike(SYMBOL) | (_symbols(line) * 100 <= _chars(line) * MAX_SYMBOL_PERCENT))
+        & ~_boilerplate(line)
     )
 
 
@@ -59,7 +70,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs -> (_doc struct of all its columns, the base figures, base_failed, kept, clean_text)."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).withColumn("_t", F.coalesce(F.col(f"_doc.`{text}`"), F.lit("")))
     df = df.withColumn("_w", F.array_remove(F.split("_t", WORD_SPLIT), ""))
-    df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: _chars(x) > 0))
+    df = df.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
+    df = df.withColumn("word_chars", F.char_length(F.array_join("_w", "")).cast("bigint"))
     df = df.withColumn("n_words", F.size("_w").cast("bigint")).withColumn("_first", F.array_distinct("_lines"))
     m = F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")
     windows = F.arrays_zip(
@@ -80,8 +92,7 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("n_repeat_words", F.when(F.size("_at") > 0, covered + 3).otherwise(F.lit(0).cast("bigint"))).drop("_at")
     df = (
-        df.withColumn("word_chars", _chars(F.col("_t")))
-        .withColumn("n_symbols", _symbols(F.col("_t")))
+        df.withColumn("n_symbols", _symbols(F.col("_t")))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size("_first")).cast("bigint"))
         .withColumn("_good", F.array_join(F.filter("_first", line_passes), "\n"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
