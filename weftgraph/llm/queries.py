@@ -44,7 +44,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source stands for its host, and its language within the source for its path."""
     docs, labels = (_read(spark, sf_dir, x) for x in ("documents", "labels"))
-    model = quality_prior.learn(docs.select("doc_id", "text").filter(~toxicity.held_out(F.col("doc_id"))), labels.select("doc_id", "quality"))
+    known = labels.select("doc_id", "quality").filter(~toxicity.held_out(F.col("doc_id")))
+    model = quality_prior.learn(docs.select("doc_id", "text").filter(~toxicity.held_out(F.col("doc_id"))), known)
     return quality_prior.score(docs.select("doc_id", "text", "source", "lang"), model, F.col("source"), F.col("lang"))
 
 
