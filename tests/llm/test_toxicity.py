@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -61,6 +62,59 @@ def test_spelled_runs_end_with_their_text():
     assert (toxicity.score_batch(pa.array(["a b", "c d"]), model) < 0.5).all()
 
 
+def test_query_against_brute_force(spark, tmp_path):
+    """200 documents, insults plain and disguised among them; the query's scores against loops over all windows and subsequences."""
+    rng = random.Random(5)
+    filler = [a + b for a in ("mor", "tel", "vin", "sar", "quo", "bel", "drañ") for b in ("ta", "ric", "lon", "esh", "umi", "o'b")]
+    insult = ["grumblefool", "snorkwit", "blatherhead", "G.R.U.M.B.L.E.F.O.O.L", "snxorkwit", "snorkit", "b*atherhead", "megasnorkwit", "well...blatherhead", "s n o r k w i t", "grumb-le/fool", "grumbxqzvkjlefool"]
+    rows, labels = [], []
+    for k in range(200):
+        text = rng.choices(filler, k=rng.randrange(1, 30))
+        bad = k % 4 == 0
+        if bad:
+            for _ in range(3):
+                text.insert(rng.randrange(len(text)), rng.choice(insult[:3] if k % 8 else insult))
+        rows.append((k, " ".join(text) + rng.choice(["", ".", "!?", " - "])))
+        if k % 7:
+            labels.append((k, int(bad)))
+    rows += [(500, None), (501, ""), (None, "snorkwit grumblefool"), (502, "漢字 — snorkwit… „blatherhead“ é"), (7, "a b c d snorkwit")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted((repr(r.doc_id), r.held_out, r.predicted, r.score) for r in queries.op5_toxicity(spark, str(tmp_path)).collect())
+    held = {k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0 for k, _ in rows}
+    truth = {k: y for k, y in labels if not held[k]}
+    sample = sorted((k, t) for k, t in rows if k in truth and t is not None)
+    model = toxicity.fit([t for _, t in sample], [truth[k] for k, _ in sample])
+    assert model.landmarks
+    memo = {}
+    scores = [(k, brute.toxic_score(t, model, toxicity, memo)) for k, t in rows]
+    want = sorted((repr(k), held[k], int(s >= 0.5), s) for k, s in scores)
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want], abs=1e-9)
+    assert sum(x[2] for x in got) > 30
+
+
+def test_held_out_labels_do_not_count(spark, tmp_path):
+    """However many labels of held-out rows there are, the model stays the same."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(["telric", "vinlon", "quota"], k=12)) + (" snorkwit grumblefool" if k % 5 == 0 else "")) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = []
+    for more in (0, 20_000):
+        labels = [(k, int(k % 5 == 0)) for k, _ in rows] + [(k, 1) for k in range(1000, 1000 + more) if zlib.crc32(str(k).encode()) % 5 == 0]
+        where = tmp_path / str(more)
+        docs.write.parquet(str(where / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(where / "labels.parquet"))
+        scores.append(sorted((r.doc_id, r.score) for r in queries.op5_toxicity(spark, str(where)).collect()))
+    assert scores[0] == scores[1]
+
+
+@pytest.mark.parametrize("word", ["grumbefool", "grum*lefool", "blaterhead", "blath*rhead", "megagrumblefool", "grumbxqzkjlefool"])
+def test_disguised_insults(word):
+    """Left out, masked, prefixed, five characters put in."""
+    p = toxicity.score_batch(pa.array([f"morta {word} vinlon {word} quo {word}"]), trained())
+    assert p[0] >= 0.5
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -37,7 +37,8 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_read(spark, sf_dir, x) for x in ("documents", "labels"))
-    model = toxicity.learn(docs.select("doc_id", "text").filter(~toxicity.held_out(F.col("doc_id"))), labels.select("doc_id", "toxic"))
+    known = labels.select("doc_id", "toxic").filter(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.learn(docs.select("doc_id", "text").filter(~toxicity.held_out(F.col("doc_id"))), known)
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

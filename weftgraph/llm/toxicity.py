@@ -14,13 +14,14 @@ chance weighs less than several, and less in a long text.
 Training: labels are of texts, so sentences' tokens are labelled by multiple instances: all of a clean text's are clean,
 of a toxic text's the highest-scoring are toxic, for ``ROUNDS`` rounds. Landmarks are word beginnings (or words) that
 tell toxic training texts from clean ones beyond chance (``CHANCE`` over all candidates), taken greedily by the toxic
-texts that they cover. Toxic texts are also learned with characters inserted into their tokens. Bounds of what the driver
-holds: about ``TRAIN_CLEAN`` and ``TRAIN_TOXIC`` labelled texts of either class, drawn by a hash, of at most ``TRAIN_CHARS``
-characters each; the link allows for the classes' shares among all labels. Scoring is one map over whole texts.
-
-Defined results: a null or empty text gets the score of a text without hits; rows with a null key or label are
-not learned from; a key with both labels counts as toxic; without toxic training texts every score is 0; repeated rows
-are scored alike; an empty table gives an empty result.
+texts that they cover. Toxic texts are also learned with their insults disguised: a character inserted, left out, or put
+in another's place. The driver holds about ``TRAIN_CLEAN`` and ``TRAIN_TOXIC`` labelled texts of either class, drawn by a
+hash and whole, however long; the link allows for the classes' shares among all labels given. Scoring is one map over whole texts.
+
+Defined results: a null or empty text gets the score of a text without hits; rows with a null key or label, and labels
+without a text, are not learned from; a key with both labels counts as toxic; without toxic training texts every score is 0; repeated rows
+are scored alike and learned from each; of landmarks that cover equally many texts the longer, then the later by code points is taken;
+very long texts and tokens are read to their end; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,15 +41,15 @@ from pyspark.sql import functions as F
 from . import arrays, minhash
 from .common import hash_unit, table
 
-ORDER, DECAY, POWER = 3, 0.7, 3
-SHORTEST, LEAST_BYTES, LONGEST, LANDMARKS = 3, 4, 10, 96
+ORDER, DECAY, POWER = 3, 0.7, 2
+SHORTEST, LEAST_BYTES, LONGEST, LANDMARKS = 3, 4, 16, 96
 LEAST_TEXTS, PURITY, CHANCE = 3, 0.8, 0.01
-TRAIN_CLEAN, TRAIN_TOXIC, TRAIN_CHARS, ROUNDS, RIDGE = 5000, 1500, 8000, 3, 0.003
+TRAIN_CLEAN, TRAIN_TOXIC, ROUNDS, RIDGE = 5000, 1500, 3, 0.003
 INSERTED, TOP = 3, 3
 #: Stands before a token's first character; texts hold none, as punctuation is passed over.
 EDGE = b"^"
 PUNCTUATION = ord(".")
-LEAST, OWN_GAPS = 0.6, 0.9
+LEAST, OWN_GAPS = 0.55, 0.9
 #: Hashes a window's characters and gaps.
 _ODD = np.random.default_rng(5).integers(1 << 63, 1 << 64, 64, np.uint64) | np.uint64(1)
 
@@ -224,6 +225,17 @@ def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np
     return pair >> 32, like[pair & 0xFFFFFFFF], times, count
 
 
+def _all_tokens(texts: list[str], landmarks: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``tokens``, a part of the texts at a time."""
+    rows = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts, low = [], 0
+    for part in minhash._slices(rows, "t"):
+        of, *rest = tokens(part.column("t"), landmarks, own)
+        parts.append((of + low, *rest))
+        low += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def evidence(of: np.ndarray, margin: np.ndarray, times: np.ndarray, count: np.ndarray) -> np.ndarray:
     """(texts, TOP + 2): the highest margins of distinct tokens, how many are hits, and hits by the words of the text."""
     n = len(count)
@@ -247,10 +259,11 @@ def _beginnings(text: str) -> set[str]:
 
 def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     """Word beginnings that cover the toxic texts and few clean ones, more clearly than the best of as many chance draws would."""
-    found = [_beginnings(t) for t in texts]
     bad, good = Counter(), Counter()
-    for words, y in zip(found, toxic, strict=True):
-        (bad if y else good).update(words)
+    for i in np.flatnonzero(toxic):
+        bad.update(_beginnings(texts[i]))
+    for i in np.flatnonzero(~toxic):
+        good.update(w for w in _beginnings(texts[i]) if bad[w] >= LEAST_TEXTS)
     base = toxic.mean()
     odds = (1 - base) / base
     need = np.log(len(bad) / CHANCE)
@@ -265,7 +278,7 @@ def choose_landmarks(texts: list[str], toxic: np.ndarray) -> list[bytes]:
 
     where: dict[str, set[int]] = {w: set() for w in bad if able(w)}
     for i in np.flatnonzero(toxic):
-        for w in found[i] & where.keys():
+        for w in _beginnings(texts[i]) & where.keys():
             where[w].add(int(i))
     chosen = []
     while where and len(chosen) < LANDMARKS:
@@ -296,15 +309,16 @@ def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def _insert(text: str, landmarks: list[str], rng: np.random.Generator) -> str:
-    """The text with a character put inside each word that begins like a landmark."""
+def _disguised(text: str, landmarks: list[str], rng: np.random.Generator) -> str:
+    """The text with one character of each word that begins like a landmark doubled by another, left out, or masked."""
 
     def put(m: re.Match) -> str:
         w = m[0]
         if not any(w.lower().startswith(x) for x in landmarks):
             return w
-        i = int(rng.integers(1, min(len(w), SHORTEST + 1)))
-        return w[:i] + str(rng.choice(list(".-*aeoxqz"))) + w[i:]
+        way, i = rng.integers(3), int(rng.integers(1, min(len(w), SHORTEST + 2)))
+        mark = str(rng.choice(list(".-*aeoxqz")))
+        return w[:i] + (mark if way == 0 else "*" if way == 1 else "") + w[i + (way > 0) :]
 
     return re.sub(r"\w{%d,}" % SHORTEST, put, text)
 
@@ -340,8 +354,8 @@ def fit(texts: list[str], labels: list[int], shift: float = 0.0) -> Model:
     nystrom = vectors[:, useful] / np.sqrt(values[useful])
     rng = np.random.default_rng(7)
     names = [x[len(EDGE) :].decode() for x in landmarks]
-    more = [_insert(t, names, rng) for t, y in zip(texts, toxic, strict=True) if y]
-    of, like, times, count = tokens(pa.array(texts + more), landmarks, own)
+    more = [_disguised(t, names, rng) for t, y in zip(texts, toxic, strict=True) if y]
+    of, like, times, count = _all_tokens(texts + more, landmarks, own)
     truth = np.concatenate((toxic, np.ones(len(more), bool)))
     total = len(truth)
     margin = like.max(axis=1) if len(like) else np.zeros(0)
@@ -357,7 +371,8 @@ def fit(texts: list[str], labels: list[int], shift: float = 0.0) -> Model:
         w, bias = _machine(x, y)
         weights = nystrom @ w
         margin = like @ weights + bias
-    link = _logistic(evidence(of, margin, times, count), truth)
+    # Disguised copies would make toxic texts look more common than they are.
+    link = _logistic(evidence(of, margin, times, count)[: len(texts)], toxic)
     link[-1] += shift
     return Model(landmarks, own, weights, bias, link)
 
@@ -390,7 +405,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     shares = {y: min(1.0, most / max(1, count.get(y, 0))) for y, most in ((0, TRAIN_CLEAN), (1, TRAIN_TOXIC))}
     share = F.when(F.col("y") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0]))
     drawn = marked.filter(hash_unit("toxic", F.col("k")) < share)  # about TRAIN_CLEAN + TRAIN_TOXIC rows: safe to broadcast
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter(F.char_length("t") <= TRAIN_CHARS)
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL")
     sample = sorted(rows.join(F.broadcast(drawn), "k").select("k", "t", "y").collect())
     return fit([r.t for r in sample], [r.y for r in sample], float(np.log(shares[0] / shares[1])))
 
