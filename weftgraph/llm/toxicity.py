@@ -141,6 +141,15 @@ def _windows(bit: np.ndarray, at: np.ndarray, of: np.ndarray, size: int, bound:
             yield np.minimum(where, n - 1), where < close[part][:, None]
 
 
+def _least_own(piece: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """A lower bound of each piece's own kernel: its neighbouring characters' subsequences, each with itself."""
+    out = np.zeros(len(piece))
+    for i in range(piece.shape[1] - ORDER + 1):
+        span = ORDER + gaps[:, i + 1 : i + ORDER].sum(axis=1)
+        out += np.where(piece[:, i + ORDER - 1] != 0, DECAY ** (2 * span), 0.0)
+    return out
+
+
 def likenesses(data: np.ndarray, start: np.ndarray, size: np.ndarray, landmarks: list[bytes], own: np.ndarray) -> np.ndarray:
     """(tokens, landmarks) likeness of tokens that are spans of data. The landmarks begin with the edge mark."""
     out = np.zeros((len(start), len(landmarks)))
@@ -175,9 +184,12 @@ def likenesses(data: np.ndarray, start: np.ndarray, size: np.ndarray, landmarks:
                 _, kind, inverse = np.unique((piece * _ODD[: piece.shape[1]] + gaps * _ODD[-piece.shape[1] :]).sum(axis=1, dtype=np.uint64), return_index=True, return_inverse=True)
                 piece, gaps = piece[kind], gaps[kind]
                 # A letter that is not the landmark's widens a gap, by less in the piece's own kernel.
-                self = kernels(piece, piece, token_gaps=gaps * OWN_GAPS, mark_gaps=gaps * OWN_GAPS)
-                value = kernels(piece, np.broadcast_to(mark, (len(piece), len(mark))), token_gaps=gaps)
-                value = np.divide(value, np.sqrt(self * own[k]), out=np.zeros(len(piece)), where=self > 0)
+                raw = kernels(piece, np.broadcast_to(mark, (len(piece), len(mark))), token_gaps=gaps)
+                value = np.zeros(len(piece))
+                able = np.flatnonzero(raw > LEAST * np.sqrt(_least_own(piece, gaps * OWN_GAPS) * own[k]))
+                if len(able):
+                    piece, gaps = piece[able], gaps[able] * OWN_GAPS
+                    value[able] = raw[able] / np.sqrt(kernels(piece, piece, token_gaps=gaps, mark_gaps=gaps) * own[k])
                 value = np.where(value > LEAST, np.minimum(1.0, value), 0.0) ** POWER
                 np.maximum.at(out[:, k], token[at[where[:, 0]]], value[inverse])
     return out
@@ -187,7 +199,23 @@ _DROP = np.zeros(256, bool)
 _DROP[np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)] = True
 
 
-def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Plain:
+    """Hashes of the tokens that were found to be like no landmark, so that they need no second look. Bounded; only speed depends on it."""
+
+    MOST = 1_000_000
+
+    def __init__(self):
+        self.held = np.zeros(0, np.uint64)
+
+    def lacks(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.held, hashes)
+        return (at == len(self.held)) | (self.held[np.minimum(at, len(self.held) - 1)] != hashes) if len(self.held) else np.ones(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held = np.sort(np.concatenate((self.held, hashes)) if len(self.held) + len(hashes) <= self.MOST else hashes)
+
+
+def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray, plain: Plain | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each distinct token of a text that is like any landmark: text number, likenesses, occurrences; and each text's words."""
     data, offsets = arrays.text_bytes(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     # Of punctuation, one character stays for each place inside a token.
@@ -218,8 +246,12 @@ def tokens(texts: pa.Array, landmarks: list[bytes], own: np.ndarray) -> tuple[np
         of = np.concatenate((of, [of[a] for a, _ in spans])).astype(np.int64)
         data = np.concatenate((data, np.frombuffer(b" " + b" ".join(spelled), np.uint8)))
         start, end = np.concatenate((start, first)), np.concatenate((end, first + size))
-    _, first, inverse = np.unique(arrays.word_hashes(data, start, end), return_index=True, return_inverse=True)
-    like = likenesses(data, start[first], (end - start)[first], landmarks, own)
+    kind, first, inverse = np.unique(arrays.word_hashes(data, start, end), return_index=True, return_inverse=True)
+    plain = plain or Plain()
+    new = np.flatnonzero(plain.lacks(kind))
+    like = np.zeros((len(kind), len(landmarks)))
+    like[new] = likenesses(data, start[first[new]], (end - start)[first[new]], landmarks, own)
+    plain.add(kind[new[~like[new].any(axis=1)]])
     hit = np.flatnonzero(like.any(axis=1)[inverse])
     pair, times = np.unique((of[hit] << 32) | inverse[hit], return_counts=True)
     return pair >> 32, like[pair & 0xFFFFFFFF], times, count
@@ -391,8 +423,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_batch(texts: pa.Array, model: Model) -> np.ndarray:
-    of, like, times, count = tokens(texts, model.landmarks, model.own)
+def score_batch(texts: pa.Array, model: Model, plain: Plain | None = None) -> np.ndarray:
+    of, like, times, count = tokens(texts, model.landmarks, model.own, plain)
     x = evidence(of, like @ model.weights + model.bias, times, count)
     return 1 / (1 + np.exp(-np.clip(x @ model.link[:-1] + model.link[-1], -50, 50)))
 
@@ -415,9 +447,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = Plain()
         for whole in batches:
             for batch in minhash._slices(whole, "t"):
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(score_batch(batch.column("t"), held.value))], names=["k", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(score_batch(batch.column("t"), held.value, plain))], names=["k", "score"])
 
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     out = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, score double")
