@@ -93,8 +93,8 @@ def test_rates(spark):
 
 
 def test_odd_conversations(spark, tmp_path):
-    rows = [(None, 1, "user", "hi there"), (1, None, "user", "> hi there\nyes"), (1, 0, None, None), (1, 1, "user", ""), (1, 2, "assistant", "> > deep one\n> hi there\nanswer"), (1, 2, "assistant", "> > deep one\n> hi there\nanswer"),
-            (2, 0, "user", "hi there"), (2, 1, "user", "deep one"), (2, 2, "user", "Bob wrote:\n> deep one\n>> hi there\nI agree"), (3, 0, "user", "> never said\n" + "long " * 50_000)]
+    rows = [(None, 1, "user", "hi there my dear old friend"), (1, None, "user", "> hi there my dear old friend\nyes"), (1, 0, None, None), (1, 1, "user", ""), (1, 2, "assistant", "> > deep one that is long enough\n> hi there my dear old friend\nanswer"), (1, 2, "assistant", "> > deep one that is long enough\n> hi there my dear old friend\nanswer"),
+            (2, 0, "user", "hi there my dear old friend"), (2, 1, "user", "deep one that is long enough"), (2, 2, "user", "Bob wrote:\n> deep one that is long enough\n>> hi there my dear old friend\nI agree"), (3, 0, "user", "> never said\n" + "long " * 50_000)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, c string, m string")
     for part, folder in ((df, "a"), (df.limit(0), "b")):
         part.write.parquet(str(tmp_path / folder / "conversations.parquet"))

@@ -77,29 +77,45 @@ FROM b
 
 
 _CHAT = rf"""
-WITH m AS (SELECT row_number() OVER () AS rid, conv_id AS c, turn, role, coalesce(text, '') AS t FROM conversations),
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id AS c, turn, role, translate(coalesce(text, ''), chr(1) || chr(2), '  ') AS t FROM conversations),
 l AS (SELECT rid, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM m),
-p AS (
-  SELECT *, len(regexp_extract_all(regexp_extract(raw, '{chat.MARKS}', 1), '>')) AS level,
-    trim(lower(regexp_replace(raw, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))) AS norm FROM l
-), i AS (SELECT *, level = 0 AND coalesce(lead(level) OVER (PARTITION BY rid ORDER BY k), 0) > 0 AND regexp_matches(raw, '{chat.INTRODUCES}') AS intro FROM p),
-o AS (SELECT rid, trim(string_agg(raw, chr(10) ORDER BY k), ' ') AS said FROM i WHERE level = 0 AND NOT intro GROUP BY rid),
-say AS (SELECT DISTINCT c, turn, norm FROM i JOIN m USING (rid) WHERE level = 0 AND NOT intro AND norm <> '' AND c IS NOT NULL AND turn IS NOT NULL),
-quote AS (SELECT DISTINCT rid, c, turn, level, norm FROM i JOIN m USING (rid) WHERE level > 0 AND norm <> ''),
+p AS (SELECT *, len(regexp_extract_all(regexp_extract(raw, '{chat.MARKS}', 1), '>')) AS marks FROM l),
+i AS (
+  SELECT rid, k, regexp_replace(raw, '{chat.MARKS}', '') AS body,
+    CASE WHEN marks = 0 AND coalesce(lead(marks) OVER w, 0) > 0 AND regexp_matches(raw, '{chat.INTRODUCES}') THEN -1 ELSE marks END AS level FROM p WINDOW w AS (PARTITION BY rid ORDER BY k)
+), g AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY k) AS block FROM (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY rid ORDER BY k) THEN 0 ELSE 1 END AS new FROM i)),
+b AS (SELECT rid, block, any_value(level) AS level, string_agg(body, chr(10) ORDER BY k) AS text FROM g GROUP BY rid, block),
+u AS (
+  SELECT DISTINCT rid, block, level, norm FROM (
+    SELECT rid, block, level, trim(lower(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS norm FROM (
+      SELECT rid, block, level, unnest([text] || string_split(regexp_replace(text, '{chat.SENTENCE}', '\1' || chr(1), 'g'), chr(1)) || string_split(text, chr(10))) AS x FROM b WHERE level >= 0)
+  ) WHERE norm <> ''
+), o AS (SELECT rid, trim(string_agg(text, chr(10) ORDER BY block), ' ') AS said FROM b WHERE level = 0 GROUP BY rid),
+say AS (SELECT DISTINCT c, turn, norm FROM u JOIN m USING (rid) WHERE level = 0 AND c IS NOT NULL AND turn IS NOT NULL),
+whole AS (SELECT rid, block, level, trim(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS whole FROM b WHERE level > 0),
+passage AS (SELECT DISTINCT rid, level, whole, norm, len(string_split(norm, ' ')) AS n FROM whole JOIN u USING (rid, block, level)),
+counted AS (SELECT rid, max(level) AS levels, count(DISTINCT (level, whole, parts)) AS n FROM (SELECT rid, block, level, whole, list(norm ORDER BY norm) AS parts FROM whole JOIN u USING (rid, block, level) GROUP BY ALL) GROUP BY rid),
 inside AS (SELECT c, norm, min(turn) AS here FROM say GROUP BY ALL),
-anywhere AS (SELECT norm, min((c, turn)) AS first FROM say GROUP BY norm),
 found AS (
-  SELECT q.*, here, first[1] AS fc, first[2] AS ft, coalesce(here < q.turn, false) AS near, NOT coalesce(here < q.turn, false) AND q.turn IS NOT NULL AND coalesce(first[1] <> q.c, false) AS far
-  FROM quote q LEFT JOIN inside USING (c, norm) LEFT JOIN anywhere USING (norm)
+  SELECT q.*, m.c, m.turn, (SELECT here FROM inside x WHERE x.c = m.c AND x.norm = q.norm AND here < m.turn) AS here,
+    CASE WHEN n >= {chat.FAR_WORDS} THEN (SELECT min((x.c, x.here)) FROM inside x WHERE x.norm = q.norm AND x.c <> m.c) END AS far
+  FROM passage q JOIN m USING (rid) WHERE m.c IS NOT NULL AND m.turn IS NOT NULL
+), best AS (
+  SELECT rid, level, whole, max((n, -here)) FILTER (here IS NOT NULL) AS near, min((-n, far)) FILTER (far IS NOT NULL) AS far FROM found GROUP BY ALL
 ), per AS (
-  SELECT rid, max(level) AS levels, count(*) AS n, count(*) FILTER (near OR far) AS n_linked, max((-level, here)) FILTER (near) AS near_to, min((level, fc, ft)) FILTER (far) AS far_to
-  FROM found GROUP BY rid
-), t AS (SELECT DISTINCT c, turn FROM m)
-SELECT m.c AS conv_id, m.turn, m.role, coalesce(levels, 0)::BIGINT AS quote_levels, coalesce(n, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked,
-  CASE WHEN near_to IS NULL AND far_to IS NOT NULL THEN far_to[2] WHEN near_to IS NOT NULL OR t.turn IS NOT NULL THEN m.c END AS reply_conv,
-  CASE WHEN near_to IS NULL AND far_to IS NOT NULL THEN far_to[3] WHEN near_to IS NOT NULL THEN near_to[2] WHEN t.turn IS NOT NULL THEN m.turn - 1 END AS reply_turn,
-  coalesce(o.said, '') AS reply_text
-FROM m LEFT JOIN o USING (rid) LEFT JOIN per USING (rid) LEFT JOIN t ON t.c = m.c AND t.turn = m.turn - 1
+  SELECT rid, count(*) FILTER (near IS NOT NULL OR far IS NOT NULL) AS n_linked, max((-level, -near[2])) FILTER (near IS NOT NULL) AS near_to,
+    min((level, far[2][1], far[2][2])) FILTER (near IS NULL AND far IS NOT NULL) AS far_to FROM best GROUP BY rid
+), t AS (SELECT DISTINCT c, turn FROM m),
+r AS (
+  SELECT m.*, coalesce(levels, 0)::BIGINT AS quote_levels, coalesce(n, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, near_to IS NULL AND far_to IS NOT NULL AS outside, far_to,
+    coalesce(near_to[2], CASE WHEN t.turn IS NOT NULL THEN m.turn - 1 END) AS parent, coalesce(o.said, '') AS said
+  FROM m LEFT JOIN o USING (rid) LEFT JOIN counted USING (rid) LEFT JOIN per USING (rid) LEFT JOIN t ON t.c = m.c AND t.turn = m.turn - 1
+), node AS (SELECT c, turn, min(parent) AS parent FROM r WHERE c IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+th(c, turn, thread, depth) AS (SELECT c, turn, turn, 0 FROM node WHERE parent IS NULL UNION ALL SELECT node.c, node.turn, th.thread, th.depth + 1 FROM th JOIN node ON node.c = th.c AND node.parent = th.turn)
+SELECT r.c AS conv_id, r.turn, role, quote_levels, n_quotes, n_linked,
+  CASE WHEN outside THEN far_to[2] WHEN parent IS NOT NULL THEN r.c END AS reply_conv, CASE WHEN outside THEN far_to[3] ELSE parent END AS reply_turn, said AS reply_text,
+  thread, depth::BIGINT AS depth, CASE WHEN thread IS NOT NULL THEN row_number() OVER (PARTITION BY r.c ORDER BY thread NULLS LAST, r.turn, md5(t), role NULLS FIRST) - 1 END AS place
+FROM r LEFT JOIN th ON th.c = r.c AND th.turn = r.turn
 """
 
 
