@@ -34,4 +34,4 @@ def assert_same(df, con, sql: str) -> None:
     at = [found.columns.index(c) for c in names]
     ours = Counter(repr(tuple(plain(r[c]) for c in names)) for r in df.collect())
     theirs = Counter(repr(tuple(plain(r[i]) for i in at)) for r in found.fetchall())
-    assert ours == theirs
+    assert ours == theirs, (sorted((ours - theirs).elements())[:4], sorted((theirs - ours).elements())[:4])

@@ -1,10 +1,12 @@
 """Versions, deletions, batches, compaction, validation."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import model
 from weftgraph.operators import context, stats, store
+from weftgraph.session import ranked
 
 GONE = model.TOMBSTONES
 
@@ -24,6 +26,18 @@ def test_newest_version_counts_and_deletions_hide(spark):
     assert live.columns == b.columns
 
 
+def test_versions_resolve_on_narrow_rows(spark, tmp_path):
+    """Content that is not asked for is neither read nor shuffled, and the newest sequence is a hash aggregation."""
+    blocks(spark, ("a", 1, "old"), ("a", 3, "new"), ("b", 2, "x")).write.parquet(str(tmp_path / "b"))
+    held = spark.read.parquet(str(tmp_path / "b"))
+    plan = store.current(held, gone(spark, ("b", 4, 0))).select("id", "sequence")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "HashAggregate" in plan
+    # A copy of a version is no version of its own, and a deletion of the same sequence does not hide it.
+    twice = blocks(spark, ("a", 3, "new"), ("a", 3, "new"), ("a", 1, "old"))
+    assert [(r.id, r.content) for r in store.current(twice, gone(spark, ("a", 3, 0))).collect()] == [("a", "new")]
+    assert store.current(twice.limit(0), gone(spark, ("a", 3, 0))).count() == 0
+
+
 def test_shadowing_is_strict(spark):
     b = blocks(spark, ("a", 5, "x"))
     assert [store.shadowed(b, gone(spark, ("a", s, 0))).count() for s in (4, 5, 6)] == [0, 0, 1]
@@ -57,6 +71,9 @@ def test_delete_and_edges(spark):
     assert [tuple(r) for r in edges.collect()] == [("a", "b", "calls")]
     assert sorted(tuple(r.errors) for r in bad.collect()) == [("self_loop",), ("target_missing",), ("type",)]
     assert store.remove_edge(edges, "a", "b", "calls").count() == 0
+    three = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "imports"), ("b", "a", "calls")], model.EDGES)
+    assert sorted(map(tuple, store.remove_edge(three, "a", "b", "calls").collect())) == [("a", "b", "imports"), ("b", "a", "calls")]
+    assert store.remove_edge(three, "a", "c", "calls").count() == 3
     assert [r.next_sequence for r in store.next_sequence(b, t).collect()] == [6]
 
 
@@ -121,6 +138,47 @@ def test_context(spark):
             context.run(bad, b, e)
 
 
+def test_context_graph(spark):
+    b = spark.createDataFrame([(i, 1, "u", f'{{"codebase": "w", "unit_type": "function", "unit_id": "f:{i}"}}', "c") for i in "abcd"], model.BLOCKS)
+    e = spark.createDataFrame([("a", "b", "calls"), ("a", "b", "imports"), ("b", "c", "calls"), ("c", "a", "calls"), ("d", "z", "calls"), ("z", "d", "calls")], model.EDGES)
+    query = context.ContextQuery("w", (context.Anchor("entity_name", "a"),), (context.Rule(max_depth=3),))
+    held = context.ContextStatistics()
+    ticks = iter(range(100))
+    nodes, edges, _ = context.run(query, b, e, held, clock=lambda: next(ticks) * 0.5)
+    assert held.queries_executed == 1 and held.total_execution_time_us == held.last_query_time_us == held.average_query_time_us > 0
+    held.record(0.25)
+    assert held.average_query_time_us == held.total_execution_time_us // 2 and held.last_query_time_us == 250_000
+    held.reset()
+    assert (held.queries_executed, held.average_query_time_us) == (0, 0)
+    assert [r.id for r in context.neighbours(edges, "a").collect()] == ["b"] and [r.id for r in context.neighbours(edges, "a", incoming=True).collect()] == ["c"]
+    assert context.utilization(nodes, edges, 10, 8).first().asDict() == {"node_count": 3, "edge_count": 4, "node_percent": 30, "edge_percent": 50}
+    assert context.dangling(nodes, edges).count() == 0
+    assert sorted((r.src, r.missing) for r in context.dangling(b.select("id"), e).collect()) == [("d", "target"), ("z", "source")]
+    slow = context.ContextQuery("w", query.anchors, query.rules, timeout_ms=100)
+    ticks = iter(range(100))
+    with pytest.raises(TimeoutError, match="QueryTimeout"):
+        context.run(slow, b, e, clock=lambda: next(ticks) * 0.06)
+    assert context.run(slow, b, e, clock=lambda: 0.0)[0].count() == 3
+
+
+def test_latency_percentiles(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.normal(size=1001).tolist(), "b": [1.5], None: rng.integers(0, 5, 200).astype(float).tolist()}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("c", None)]
+    got = {r.g: r for r in stats.latency_summary(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert set(got) == set(values)
+    for g, vs in values.items():
+        r = got[g]
+        assert [r.n, r.min, r.max] == [len(vs), min(vs), max(vs)]
+        assert [r.median, r.p95, r.p99, r.mean, r["std"]] == pytest.approx([*np.percentile(vs, [50, 95, 99]), np.mean(vs), np.std(vs)])
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([(k % 7, k) for k in range(500)], "a int, b int")
+    got = sorted((r["rank"], -r.a, r.b) for r in ranked(df, F.desc("a"), "b").collect())
+    assert [x[0] for x in got] == list(range(500)) and [x[1:] for x in got] == sorted(x[1:] for x in got)
+
+
 def test_statistics(spark):
     b = blocks(spark, ("a", 1, "xx"), ("b", 2, "é"))
     e = spark.createDataFrame([("a", "b", "calls")], model.EDGES)

@@ -177,3 +177,64 @@ def test_arguments(spark):
     assert model.EdgeType.decode("calls") == model.EdgeType.decode(7)
     with pytest.raises(ValueError):
         model.EdgeType.decode(12)
+
+
+def test_rounds_do_not_shuffle_edges(spark, tmp_path):
+    """What a round reads of the edges is a scan and a broadcast join with the frontier; only what is reached is dealt."""
+    graph(spark, [(k, k + 1) for k in range(50)]).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    for direction in t.DIRECTIONS:
+        move = t.steps(e, direction)
+        assert "Exchange" not in move._jdf.queryExecution().executedPlan().toString()
+        front = spark.createDataFrame([("1",)], "a string")
+        plan = move.join(F.broadcast(front), "a").select("b").distinct()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_repeated_edges_change_nothing(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(12), rng.randrange(12)) for _ in range(40)]
+    once, often = graph(spark, dict.fromkeys(pairs)), graph(spark, pairs * 3).unionByName(graph(spark, pairs, "imports"))
+    for run in (
+        lambda e: t.bfs(e, "0", depth=2), lambda e: t.bfs_walks(e, "0", depth=2), lambda e: t.k_hop(e, "0", 2), lambda e: t.topological(e, "0", 2),
+        lambda e: t.paths_between(e, "0", "5", 2), lambda e: t.dfs(e, "0", depth=2), lambda e: t.cheapest(e, "0", lambda: F.lit(1.0), depth=2),
+    ):
+        assert sorted(map(repr, run(once).collect())) == sorted(map(repr, run(often).collect()))
+
+
+def test_exact_depth_boundary_and_hub(spark):
+    """A hub with very many neighbours, and a chain cut at each depth."""
+    hub = graph(spark, [("hub", f"n{k}") for k in range(3000)] + [("n7", "last")])
+    found = t.bfs(hub, "hub", depth=2)
+    assert found.count() == 3002 and found.filter("depth = 2").collect()[0].id == "last"
+    chain = graph(spark, [(f"{k:02}", f"{k + 1:02}") for k in range(5)])
+    for depth in (1, 4, 5, 8):
+        assert t.bfs(chain, "00", depth=depth).count() == min(depth, 5) + 1
+
+
+def test_component_of_one_node(spark):
+    rng = random.Random(21)
+    pairs = {(rng.randrange(25), rng.randrange(25)) for _ in range(60)}
+    reach = {x: {int(i) for i, _ in model_bfs([(str(a), str(b)) for a, b in pairs], str(x), 99)} for x in range(25)}
+    for x in (0, 7):
+        want = {y for y in reach[x] if x in reach[y]}
+        assert {int(r.id) for r in t.component_of(graph(spark, pairs), str(x)).collect()} == want
+    ring = graph(spark, [(k, (k + 1) % 9) for k in range(9)])
+    assert t.component_of(ring, "5").count() == 9
+
+
+def test_paths_of_one_hop_more(spark):
+    e = graph(spark, [("a", "b"), ("b", "c"), ("c", "z"), ("a", "z")])
+    assert sorted(r.hops for r in t.paths_between(e, "a", "z", 2).collect()) == [1]
+    assert sorted(r.hops for r in t.paths_between(e, "a", "z", 2, over=True).collect()) == [1, 3]
+
+
+def test_long_paths_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound on bytes the same join is shuffled, with the same paths."""
+    from weftgraph import session
+
+    e = graph(spark, [(f"{'n' * 50}{k}", f"{'n' * 50}{k + 1}") for k in range(6)])
+    ends = "n" * 50 + "0", "n" * 50 + "6"
+    want = t.paths_between(e, *ends, 8).collect()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 100)
+    assert t.paths_between(e, *ends, 8).collect() == want and want[0].hops == 6

@@ -135,7 +135,8 @@ def run(query: ContextQuery, blocks: DataFrame, edges: DataFrame, statistics: Co
             raise ValueError("TooManyAnchorBlocks")
         found = hit if found is None else found.unionByName(hit)
     anchors = table(found.distinct(), "anchors")
-    inside = blocks.filter(in_workspace(query.workspace)).select("id")
+    inside = table(blocks.filter(in_workspace(query.workspace)).select("id"), "inside")
+    inside = if_small(inside, inside.count())
     nodes = anchors.withColumn("depth", F.lit(0))
     for rule in query.rules:
         move = steps(edges, rule.direction, F.col("edge_type").isin(*rule.edge_types) if rule.edge_types else None)
@@ -146,7 +147,7 @@ def run(query: ContextQuery, blocks: DataFrame, edges: DataFrame, statistics: Co
             if not n or reached >= rule.max_nodes:
                 break
             new = move.join(if_small(front.select(F.col("id").alias("a")), n), "a").select(F.col("b").alias("id")).distinct()
-            new = new.join(inside, "id", "left_semi").join(seen.select("id"), "id", "left_anti")
+            new = new.join(inside, "id", "left_semi").join(if_small(seen.select("id"), reached), "id", "left_anti")
             front = table(new.withColumn("depth", F.lit(d)), "frontier")
             n = front.count()
             reached += n

@@ -180,7 +180,7 @@ WHERE CASE WHEN regexp_matches(v, '{_NUM}') THEN try_cast(v AS DOUBLE) > 50 ELSE
         "meet_in_middle": _bfs("parts", "part:1", "outgoing", 6, tail="SELECT depth AS hops FROM reach WHERE id = 'part:150'"),
         "strongly_connected": "WITH n AS (SELECT *, concat('turn:', conv_id, ':', turn) AS id FROM conversations), e AS (SELECT conv_id, min(turn) AS first FROM n GROUP BY conv_id) "
         "SELECT DISTINCT id, min(id) OVER (PARTITION BY conv_id) AS component FROM n "
-        "UNION SELECT x, x FROM (SELECT concat('turn:', conv_id + 1, ':', first) AS x FROM e) WHERE x NOT IN (SELECT id FROM n)",
+        "UNION SELECT x, x FROM (SELECT concat('turn:', conv_id // 2, ':', first) AS x FROM e WHERE conv_id BETWEEN 1 AND 7) WHERE x NOT IN (SELECT id FROM n)",
         "topological_sort": _with("trade", None, "walk(id, level) AS (SELECT 'order:1', 0 UNION SELECT dst, level + 1 FROM walk JOIN edges ON src = walk.id WHERE level < 8)") + "SELECT id, max(level)::INT AS level FROM walk GROUP BY id",
         "topological_cycle": "SELECT ''::VARCHAR AS id, 0::INT AS level WHERE false",
         "has_cycle": _with("event_types", None, "r(a, b) AS (SELECT src, dst FROM edges UNION SELECT r.a, dst FROM r JOIN edges ON src = r.b)") + "SELECT count(*) > 0 AS has_cycle, 'event_types' AS graph FROM r WHERE a = b AND (a = 'view' OR a IN (SELECT b FROM r WHERE a = 'view')) UNION ALL SELECT false, 'trade'",

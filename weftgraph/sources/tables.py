@@ -24,12 +24,12 @@ SELECT DISTINCT event_type AS src, nxt AS dst, 'calls' AS edge_type FROM (
     "parts": """
 SELECT DISTINCT concat('part:', l_partkey) AS src, concat('part:', nxt) AS dst, 'references' AS edge_type FROM (
   SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt FROM {lineitem}) AS l WHERE nxt IS NOT NULL AND nxt <> l_partkey""",
-    # Each conversation's turns in a ring, and conversations in a row: many strong components.
+    # Each conversation's turns in a ring, and the first eight conversations in a tree: many strong components.
     "rings": """
 SELECT concat('turn:', a.conv_id, ':', a.turn) AS src, concat('turn:', a.conv_id, ':', a.turn + 1) AS dst, 'calls' AS edge_type
 FROM {conversations} AS a JOIN {conversations} AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 UNION SELECT concat('turn:', conv_id, ':', max(turn)), concat('turn:', conv_id, ':', min(turn)), 'calls' FROM {conversations} GROUP BY conv_id
-UNION SELECT concat('turn:', conv_id, ':', min(turn)), concat('turn:', conv_id + 1, ':', min(turn)), 'references' FROM {conversations} GROUP BY conv_id""",
+UNION SELECT concat('turn:', conv_id, ':', min(turn)), concat('turn:', CAST(floor(conv_id / 2) AS BIGINT), ':', min(turn)), 'references' FROM {conversations} WHERE conv_id BETWEEN 1 AND 7 GROUP BY conv_id""",
     "turns": """
 SELECT concat('turn:', a.conv_id, ':', a.turn) AS src, concat('turn:', a.conv_id, ':', a.turn + 1) AS dst, 'calls' AS edge_type
 FROM {conversations} AS a JOIN {conversations} AS b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
