@@ -14,7 +14,7 @@ with each other; components are then taken. In buckets that still hold several c
 hub's are dealt into blocks of about ``BLOCK`` texts and ``BLOCK_WORDS`` words; each block's shingles are held in memory while all members of the bucket are
 streamed past them, and only links that join two components leave the task. So no link between different texts of a
 bucket is lost, no pairs are written out, and a group of near copies costs a comparison each for all that are near
-its hub. Star verification deals each hub's members into salted groups of ``GROUP``.
+its hub. Star verification deals each hub's members into salted groups of ``GROUP``. Shingles are compared by 48 bits of their hashes, so "exact" means up to a collision inside a pair of texts.
 
 Defined results: a text without a word (or null), and a row with a null key, is a class of its own; rows that repeat
 a key share a class with each other if their words are equal, and otherwise the key gets the smaller class; an empty
@@ -140,8 +140,9 @@ def _if_small(df: DataFrame, rows: int) -> DataFrame:
 
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """pairs (a, hub) -> those whose exact likeness reaches the threshold. docs: one row for each key in pairs, or equal rows."""
-    dealt = pairs.join(pairs.groupBy("hub").agg(F.count("*").alias("c")), "hub").select(
-        "a", "hub", F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("c") / GROUP)).cast("bigint")).alias("salt")
+    sizes = table(pairs.groupBy("hub").agg(F.count("*").alias("c")).filter(F.col("c") > GROUP), "hubs")
+    dealt = pairs.join(_if_small(sizes, sizes.count()), "hub", "left").select(
+        "a", "hub", F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("c") / GROUP), F.lit(1)).cast("bigint")).alias("salt")
     )
     routes = table(
         dealt.select(F.col("a").alias("id"), "hub", "salt", F.lit(1).alias("part")).unionByName(dealt.select(F.col("hub").alias("id"), "hub", "salt", F.lit(0).alias("part")).distinct()),
@@ -173,8 +174,9 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, threshold: fl
 def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> DataFrame:
     """held: (band, a, comp, main, words) of the open buckets -> (a, hub) links that join components, found in blocks."""
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_WORDS))
-    blocks = held.filter("comp <> main").groupBy("band").agg(parts.cast("int").alias("blocks"))
-    dealt = held.join(blocks, "band")
+    held = table(held, "open")
+    blocks = table(held.filter("comp <> main").groupBy("band").agg(parts.cast("int").alias("blocks")), "blocks")
+    dealt = held.join(_if_small(blocks, blocks.count()), "band")
     inside = dealt.filter("comp <> main").select(F.col("a").alias("id"), "band", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("part"), "comp")
     past = dealt.select(F.col("a").alias("id"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "comp")
     routes = table(inside.unionByName(past), "routes")
