@@ -1,5 +1,7 @@
 """The driver's contract, with and without the optional subpackage."""
 
+import os
+import shutil
 import subprocess
 import sys
 import textwrap
@@ -33,3 +35,14 @@ def test_without_optional_parts(tmp_path):
         assert set(e.oracle_sql()) <= set(e.queries()) and 'pipeline' not in e.queries()
     """
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_other_tests_without_optional_parts(tmp_path):
+    """In a copy without the optional folders and the pipeline, other tests are found and pass."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", "corpus_pipeline.py"))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    listed = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+    assert listed.returncode == 0, listed.stdout[-2000:]
+    ran = subprocess.run([sys.executable, "-m", "pytest", "tests/test_filters.py", "tests/test_entry.py", "-q", "-x", "-k", "not optional", "-p", "no:cacheprovider"], cwd=copy, env=env, capture_output=True, text=True)
+    assert ran.returncode == 0, ran.stdout[-2000:]
