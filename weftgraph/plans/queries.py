@@ -585,7 +585,7 @@ def validate_blocks(spark, d):
 @query
 def put_sequences(spark, d):
     """All documents put behind the versions held: fresh sequences in the order of ord."""
-    new = t.blocks(spark, d, "documents").withColumn("ord", F.col("sequence")).filter("content <> ''").withColumn("metadata_json", F.lit("{}"))
+    new = t.blocks(spark, d, "documents").withColumn("ord", F.col("sequence")).withColumn("metadata_json", F.lit("{}"))
     log, _ = store.put_blocks(t.blocks(spark, d, "versions"), t.tombstones(spark, d), new)
     return log.filter(F.col("id").startswith("doc:")).select("id", "sequence")
 
