@@ -128,6 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "count_existing": _V + f"SELECT count(*) AS n FROM live JOIN {_IDS} USING (id)",
         "block_sequence": _V + "SELECT sequence FROM live WHERE id = 'user:3'",
         "block_count": _V + "SELECT count(*) AS versions, count(DISTINCT id) AS ids FROM b",
+        "result_state": _V + "SELECT run, CASE run WHEN 2 THEN 0 ELSE n END AS n, run = 2 OR n = 0 AS is_empty FROM (SELECT count(*) AS n FROM live), (VALUES (0), (1), (2)) AS r(run)",
         "out_edges": _with("trade") + "SELECT src, dst, edge_type FROM edges WHERE src = 'order:1'",
         "in_edges": _with("trade") + f"SELECT src, dst, edge_type FROM edges WHERE dst = '{q.START}'",
         "edge_count": _with("trade") + "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type",
@@ -155,6 +156,7 @@ FROM (SELECT *, src NOT IN (SELECT id FROM live) AS s, dst NOT IN (SELECT id FRO
 WHERE CASE WHEN regexp_matches(v, '{_NUM}') THEN try_cast(v AS DOUBLE) > 50 ELSE v > '50' END""",
         "filter_tree": doc + f"SELECT id FROM blocks WHERE (contains(content, 'the') AND ends_with(source_uri, '7')) OR NOT ({lang} = 'en' OR starts_with(content, 'D'))",
         "filter_sequence": ev + "SELECT id, sequence FROM blocks WHERE sequence <= 500 AND sequence <> 42",
+        "filter_decoded": doc + "SELECT id FROM blocks WHERE starts_with(content, 'T') AND sequence < 150.5",
         "filter_page": ev + "SELECT id FROM blocks WHERE content = 'view' ORDER BY id LIMIT 100 OFFSET 50",
         "filter_statistics": ev + """SELECT count(*) AS scanned, count(*) FILTER (content = 'view') AS matches, greatest(0, least(100, count(*) FILTER (content = 'view') - 50))::BIGINT AS returned,
   count(*) FILTER (content = 'view') > 150 AS has_more FROM blocks""",
@@ -200,6 +202,7 @@ WHERE CASE WHEN regexp_matches(v, '{_NUM}') THEN try_cast(v AS DOUBLE) > 50 ELSE
         "context_nodes": _with("trade", "units", _CONTEXT) + "SELECT id, depth FROM nodes",
         "context_edges": _with("trade", "units", _CONTEXT) + "SELECT DISTINCT src, dst, edge_type FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)",
         "context_metrics": _with("trade", "units", _CONTEXT) + "SELECT count(*) AS nodes, max(depth) AS max_depth, count(*) FILTER (depth = 0) AS anchors FROM nodes",
+        "context_cost": "SELECT (10 * 2 + 5 * 2 * 4)::BIGINT AS micros, (2 * 10000)::BIGINT AS kilobytes, 10 * 2 + 5 * 2 * 4 > 1000000 OR 2 * 10000 > 100000 AS exceeds_limits",
         "context_utilization": _with("trade", "units", _CONTEXT) + """SELECT n AS node_count, e AS edge_count, n * 100 // 10000 AS node_percent, e * 100 // 40000 AS edge_percent
 FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)) AS e)""",
         "context_neighbours": _with("trade", "units", _CONTEXT) + """SELECT DISTINCT dst AS id, 'out' AS way FROM edges WHERE src = 'nation:2' AND dst IN (SELECT id FROM nodes)

@@ -78,6 +78,15 @@ def block_count(spark, d):
     return t.blocks(spark, d, "versions").agg(F.count("*").alias("versions"), F.count_distinct("id").alias("ids"))
 
 
+@query
+def result_state(spark, d):
+    """A result that is read, read again from its start, and emptied."""
+    found = _live(spark, d)
+    runs = [(k, df) for k, df in enumerate((found, found, found.limit(0)))]
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("run"), "n", (F.col("n") == 0).alias("is_empty")) for k, df in runs]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query
 def out_edges(spark, d):
     return store.outgoing(t.edges(spark, d, "trade"), "order:1")
@@ -231,6 +240,14 @@ def filter_sequence(spark, d):
     return filters.select(_events(spark, d), where, None).select("id", "sequence")
 
 
+@query
+def filter_decoded(spark, d):
+    """Targets and operators by their stored codes: content that starts with a letter, and early sequences."""
+    coded = lambda target, op, value: Condition(filters.decode(Target, target), filters.decode(Operator, op), value)
+    where = Tree(filters.decode(Logic, 0), coded(0, 7, "T"), coded(3, 4, "150.5"))
+    return filters.select(t.blocks(spark, d, "documents"), where, None).select("id")
+
+
 @query
 def filter_page(spark, d):
     """A page of results: the limit is the feature."""
@@ -459,6 +476,12 @@ def context_metrics(spark, d):
     return _context(spark, d)[2]
 
 
+@query
+def context_cost(spark, d):
+    asked = context.ContextQuery("ASIA", (context.Anchor("block_id", "nation:2"),) * 2, (context.Rule(max_depth=2), context.Rule(max_depth=4)), 10_000)
+    return spark.createDataFrame([tuple(asked.cost().values())], "micros long, kilobytes long, exceeds_limits boolean")
+
+
 @query
 def context_utilization(spark, d):
     nodes, edges, _ = _context(spark, d)
