@@ -34,16 +34,22 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _powers.clear()
+            give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Returns free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; kept and grown in each worker."""
+    """base ** 0 ... base ** (n - 1) modulo 2 ** 64; kept and grown within a task."""
     if base not in _powers or len(_powers[base]) < n:
         x = np.full(max(n, 1 << 16), base, np.uint64)
         x[0] = 1

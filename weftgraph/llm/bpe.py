@@ -39,7 +39,7 @@ MEMO_PIECES = 300_000
 #: Of one query: the bytes of its pieces (one piece at least), and about the rows that its rounds hold together.
 SQL_BYTES, SQL_ROWS = 400_000, 6_000_000
 #: Characters of the texts whose pieces are put together at once.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 1_500_000
 
 #: w: piece, k, e: start and end in bytes, with a gap after each piece, t: token, n: the next token or -1, p: rank of the
 #: pair with the next token * 2^32 + k, or null.
@@ -116,6 +116,8 @@ class Coder:
         #: The memo: a piece's number, and by number its ids, their count, its bytes; in how many runs it was met.
         self.own = pa.table({"piece": pa.array(own, pa.large_string()), "ids": pa.array([b" %d" % r for r in own.values()], pa.large_binary()), "n": pa.array(np.ones(len(own), np.int64)), "decoded": pa.array([t.encode() for t in own], pa.large_binary())})
         self.forget(self.own)
+        del pairs, merges, vocab, own
+        arrays.give_back()
 
     def forget(self, kept: pa.Table) -> None:
         self.known, self.met = kept, np.zeros(kept.num_rows, np.int32)
@@ -139,6 +141,7 @@ class Coder:
             self.db.unregister("base")
             form = ALL
         self.db.execute("DROP TABLE IF EXISTS coded")
+        del base
         found = pa.concat_tables(parts)
         return pa.table({"piece": pieces.take(found["w"].combine_chunks()), **{c: found[c].combine_chunks().cast(f) for c, f in (("ids", pa.large_binary()), ("n", pa.int64()), ("decoded", pa.large_binary()))}})
 
@@ -188,6 +191,8 @@ class Coder:
                 joined = held[name].combine_chunks().take(index)
                 parts.append((memoryview(joined.buffers()[2] or b"").cast("B"), np.frombuffer(joined.buffers()[1], np.int64)[edge] if len(joined) else edge))
             (ids, a), (decoded, b) = parts
+            del coded, held, index
+            arrays.give_back()
             for i in range(len(counts) - 1):
                 yield ids[a[i] + 1 : a[i + 1]], int(number[i + 1] - number[i]), decoded[b[i] : b[i + 1]]
 
