@@ -6,7 +6,8 @@ hash-seeded Bernoulli copy whose probability is the fraction. No document is eve
 
 Defined results: a null text or one without words has size 0 and takes 0 words (it is still emitted by the rate of
 its source); a null source is a source of its own, last in the order; repeated rows are separate documents that
-draw the same number; an empty table gives an empty result; other columns pass through ``mix`` untouched.
+draw the same number; a very long text is counted whole and taken whole; sources whose caps tie by weight are ordered
+by their names; an empty table gives an empty result; other columns pass through ``mix`` untouched.
 """
 
 from __future__ import annotations

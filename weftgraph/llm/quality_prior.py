@@ -11,7 +11,8 @@ concentrations cover all documents. Groups are summed map-side first; hot hosts
 
 Defined results: null and empty texts have the features of no words; null hosts and paths are groups of their own;
 labels that are null or neither 0 nor 1 are not learned from, and a key with both counts as low quality; without both
-classes the evidence is 0 throughout; repeated rows are scored alike and count each; empty tables give empty results.
+classes the evidence is 0 throughout; repeated rows are scored alike and count each; rows with equal features tie at
+one score; very long texts are read whole; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Repeated windows are found per row: windows are zipped out of the word array, so
 neighbours compared, so the cost is n log n in the words of one text and nothing is shuffled.
 
 Defined results: a null text counts as an empty one, which fails the base rules; lines without a word are neither
-judged nor counted; repeated rows are judged alike; an empty table gives an empty result.
+judged nor counted; of equal lines the first is judged and the rest are repeats; very long texts are judged whole;
+repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
