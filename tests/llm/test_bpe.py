@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -106,6 +107,16 @@ def test_small_memo(ranks, reference, monkeypatch, bound):
     assert coder.known.num_rows < coder.own.num_rows + bound + 60
 
 
+def test_equal_hashes_are_told_apart(ranks, reference, monkeypatch):
+    """Hashes only propose a piece; with very few of them results stay right."""
+    few = bpe._hashes
+    monkeypatch.setattr(bpe, "_hashes", lambda pieces: few(pieces) % np.uint64(7))
+    monkeypatch.setattr(bpe, "RUN_CHARS", 60)
+    texts = [f"alphax betaq {k} gammaz deltaw{k % 3} Zürich" for k in range(12)] + ["", "a"]
+    got = [[int(x) for x in bytes(ids).split()] for ids, _, _ in bpe.Coder(ranks, PATTERN).texts(texts)]
+    assert got == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_coders_are_known_by_content(ranks):
     less = dict(ranks)
     less[b" zq"], less[b" zx"] = len(ranks), len(ranks) + 1

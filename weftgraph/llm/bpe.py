@@ -26,20 +26,20 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 #: Of one query: the bytes of its pieces (one piece at least), and about the rows that its rounds hold together.
-SQL_BYTES, SQL_ROWS = 400_000, 6_000_000
+SQL_BYTES, SQL_ROWS = 250_000, 4_000_000
 #: Characters of the texts whose pieces are put together at once.
-RUN_CHARS = 1_500_000
+RUN_CHARS = 1_000_000
 
 #: w: piece, k, e: start and end in bytes, with a gap after each piece, t: token, n: the next token or -1, p: rank of the
 #: pair with the next token * 2^32 + k, or null.
@@ -90,6 +90,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
+def _hashes(pieces: pa.Array) -> np.ndarray:
+    data, offsets = arrays.text_bytes(pieces)
+    return arrays.word_hashes(data, offsets[:-1], offsets[1:])
+
+
 class Coder:
     """Encodes and decodes pieces through DuckDB; one lives in each Python worker."""
 
@@ -113,7 +118,7 @@ class Coder:
                 own[t.decode()] = r
             except UnicodeDecodeError:
                 continue
-        #: The memo: a piece's number, and by number its ids, their count, its bytes; in how many runs it was met.
+        #: The memo: pieces with their ids, their count and bytes; in how many runs each was met; sorted hashes of the pieces, and where each stands.
         self.own = pa.table({"piece": pa.array(own, pa.large_string()), "ids": pa.array([b" %d" % r for r in own.values()], pa.large_binary()), "n": pa.array(np.ones(len(own), np.int64)), "decoded": pa.array([t.encode() for t in own], pa.large_binary())})
         self.forget(self.own)
         del pairs, merges, vocab, own
@@ -121,10 +126,12 @@ class Coder:
 
     def forget(self, kept: pa.Table) -> None:
         self.known, self.met = kept, np.zeros(kept.num_rows, np.int32)
-        self.number = dict(zip(kept["piece"].to_pylist(), range(kept.num_rows), strict=True))
+        keys = _hashes(kept["piece"].combine_chunks())
+        self.places = np.argsort(keys, kind="stable").astype(np.int32)
+        self.keys = keys[self.places]
 
     def code_pieces(self, pieces: pa.Array) -> pa.Table:
-        """(piece, ids each behind a space, n of them, bytes decoded from them) of distinct non-empty pieces, by the recursive queries and the aggregations."""
+        """(piece, ids each behind a space, n of them, bytes decoded from them) of distinct non-empty pieces, in their order, by the recursive queries and the aggregations."""
         data, offsets = arrays.text_bytes(pieces)
         sizes = np.diff(offsets)
         w = np.repeat(np.arange(len(sizes)), sizes)
@@ -143,7 +150,8 @@ class Coder:
         self.db.execute("DROP TABLE IF EXISTS coded")
         del base
         found = pa.concat_tables(parts)
-        return pa.table({"piece": pieces.take(found["w"].combine_chunks()), **{c: found[c].combine_chunks().cast(f) for c, f in (("ids", pa.large_binary()), ("n", pa.int64()), ("decoded", pa.large_binary()))}})
+        found = found if len(parts) == 1 else found.sort_by("w")
+        return pa.table({"piece": pieces, **{c: found[c].combine_chunks().cast(f) for c, f in (("ids", pa.large_binary()), ("n", pa.int64()), ("decoded", pa.large_binary()))}})
 
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         """The memo's number of each distinct piece; those it lacks are coded first. Over the bound, pieces that only one run has met go, or else all."""
@@ -151,22 +159,27 @@ class Coder:
             self.met[: self.own.num_rows] = 2
             kept = self.known.take(np.flatnonzero(self.met > 1))
             self.forget(kept.combine_chunks() if kept.num_rows < MEMO_PIECES // 2 + self.own.num_rows else self.own)
-        names = pieces.to_pylist()
-        at = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        keys = _hashes(pieces)
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at = self.places[near].astype(np.int64)
+        # A hash only proposes; the pieces themselves are compared.
+        at[(self.keys[near] != keys) | ~pc.equal(self.known["piece"].combine_chunks().take(at), pieces).to_numpy(zero_copy_only=False)] = -1
         new = np.flatnonzero(at < 0)
         if len(new):
             # Alike lengths take alike many rounds.
             fresh = pieces.take(new)
             size = np.diff(arrays.text_bytes(fresh)[1])
             order = np.argsort(size, kind="stable")
+            new = new[order]
             fresh, block = fresh.take(order), np.cumsum(size[order]) // SQL_BYTES
             edge = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(new)]))
             made = pa.concat_tables([self.code_pieces(fresh.slice(a, b - a)) for a, b in zip(edge[:-1], edge[1:], strict=True)])
-            low = self.known.num_rows
+            at[new] = self.known.num_rows + np.arange(len(new))
             self.known = pa.concat_tables([self.known, made]).combine_chunks()
-            self.met = np.concatenate((self.met, np.zeros(made.num_rows, np.int32)))
-            self.number.update(zip(made["piece"].to_pylist(), range(low, low + made.num_rows), strict=True))
-            at[new] = np.fromiter(map(self.number.__getitem__, pieces.take(new).to_pylist()), np.int64, len(new))
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
+            order = np.argsort(keys[new], kind="stable")
+            where = np.searchsorted(self.keys, keys[new][order])
+            self.keys, self.places = np.insert(self.keys, where, keys[new][order]), np.insert(self.places, where, at[new][order].astype(np.int32))
         self.met[at] += 1
         return at
 
