@@ -72,10 +72,11 @@ def test_groups_of_copies_and_chains(spark):
     assert all(got[k] == 0 for k in range(700)) and all(got[1000 + k] == 1000 + k for k in range(50))
 
 
-@pytest.mark.parametrize("words", [2_000_000, 1500])
-def test_open_buckets_lose_no_link(spark, monkeypatch, words):
+@pytest.mark.parametrize("words, cut", [(2_000_000, 1024), (1500, 1024), (1500, 5)])
+def test_open_buckets_lose_no_link(spark, monkeypatch, words, cut):
     """Texts of one bucket that are like each other but not like its hub."""
     monkeypatch.setattr(minhash, "BLOCK_WORDS", words)
+    monkeypatch.setattr(minhash, "SLICE", cut)
     rng = random.Random(2)
     texts = {}
     for g in range(6):

@@ -11,8 +11,8 @@ texts. A text's class is its connected component over links and equal word seque
 How groups stay small: equal word sequences collapse to one representative by a map-side-combined aggregation
 before anything else. In a bucket, members are compared with a hub (the member whose bands are the most shared), not
 with each other; components are then taken. In buckets that still hold several components, the members outside the
-hub's are dealt into blocks of about ``BLOCK`` texts and ``BLOCK_WORDS`` words; each block's shingles are held in memory while all members of the bucket are
-streamed past them, and only links that join two components leave the task. So no link between different texts of a
+hub's are dealt into blocks of about ``BLOCK`` texts and ``BLOCK_WORDS`` words; each block's shingles are held in memory while the bucket's members,
+in slices of about ``SLICE`` that are tasks of their own, are streamed past them, and only links that join two components leave the task. So no link between different texts of a
 bucket is lost, no pairs are written out, and a group of near copies costs a comparison each for all that are near
 its hub. Star verification deals each hub's members into salted groups of ``GROUP``. Shingles are compared by 48 bits of their hashes, so "exact" means up to a collision inside a pair of texts.
 
@@ -37,7 +37,7 @@ from .common import BROADCAST_ROWS, table
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 21, 6
 REGISTERS = BANDS * ROWS
-GROUP, BLOCK, BLOCK_WORDS = 256, 256, 2_000_000
+GROUP, BLOCK, BLOCK_WORDS, SLICE = 256, 256, 2_000_000, 512
 CHUNK_BYTES = 1_500_000
 
 
@@ -175,13 +175,15 @@ def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold
     """held: (band, a, comp, main, words) of the open buckets -> (a, hub) links that join components, found in blocks."""
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("words") / BLOCK_WORDS))
     held = table(held, "open")
-    blocks = table(held.filter("comp <> main").groupBy("band").agg(parts.cast("int").alias("blocks")), "blocks")
+    blocks = held.filter("comp <> main").groupBy("band").agg(parts.cast("int").alias("blocks"))
+    slices = held.groupBy("band").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    blocks = table(blocks.join(slices, "band"), "blocks")
     dealt = held.join(_if_small(blocks, blocks.count()), "band")
-    inside = dealt.filter("comp <> main").select(F.col("a").alias("id"), "band", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("part"), "comp")
-    past = dealt.select(F.col("a").alias("id"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("part"), "comp")
+    inside = dealt.filter("comp <> main").select(F.col("a").alias("id"), "band", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("part"), "comp")
+    past = dealt.select(F.col("a").alias("id"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("a", F.lit(1)), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("part"), "comp")
     routes = table(inside.unionByName(past), "routes")
     texts = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t")).filter("id IS NOT NULL")
-    sent = texts.join(_if_small(routes, routes.count()), "id").repartition("band", "block").sortWithinPartitions("band", "block", "part", "id")
+    sent = texts.join(_if_small(routes, routes.count()), "id").repartition("band", "block", "slice").sortWithinPartitions("band", "block", "slice", "part", "id")
 
     @arrays.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +200,10 @@ def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold
                 _, _, (where, shingle, weight) = _elements(batch.column("t"))
                 edge = np.searchsorted(where, np.arange(batch.num_rows + 1))
                 out = []
-                for i, (ident, band, number, part, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "band", "block", "part", "comp")), strict=True)):
+                for i, (ident, band, number, cut, part, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "band", "block", "slice", "part", "comp")), strict=True)):
                     mine = shingle[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]]
-                    if at != (band, number):
-                        at, block, merged, index = (band, number), [], {}, None
+                    if at != (band, number, cut):
+                        at, block, merged, index = (band, number, cut), [], {}, None
                     if part == 0:
                         block.append((ident, comp, mine))
                         continue
@@ -223,7 +225,7 @@ def block_links(held: DataFrame, docs: DataFrame, key: str, text: str, threshold
                             out.append((ident, other))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "hub"])
 
-    return sent.select("id", "band", "block", "part", "comp", "t").mapInArrow(run, "a bigint, hub bigint")
+    return sent.select("id", "band", "block", "slice", "part", "comp", "t").mapInArrow(run, "a bigint, hub bigint")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "hub") -> DataFrame:
