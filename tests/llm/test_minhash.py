@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from fractions import Fraction
 
 import brute
@@ -137,3 +138,28 @@ def test_nothing_depends_on_partitioning(spark, sf):
     a = {tuple(r) for r in minhash.near_duplicates(docs).collect()}
     b = {tuple(r) for r in minhash.near_duplicates(docs.repartition(7, F.rand(1))).collect()}
     assert a == b and common.scratch(spark)
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 16])
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch, block):
+    """Words within, across and over several blocks, and empty ones, against a plain polynomial."""
+    monkeypatch.setattr(arrays, "HASH_BYTES", block)
+    texts = ["ab abc  x", "", "y" * 300, "é 漢字 " * 40, ""]
+    data, offsets = arrays.text_bytes(pa.array(texts))
+    start, end, _ = arrays.words(data, offsets)
+    for low, high in ((start, end), (offsets[:-1], offsets[1:])):
+        plain = [(sum(int(arrays._BYTE[b]) * pow(arrays._BASE, i, 1 << 64) for i, b in enumerate(data[s:e])) + int(e - s)) % (1 << 64) for s, e in zip(low, high, strict=True)]
+        assert (arrays.word_hashes(data, low, high) == arrays.mixed(np.array(plain, np.uint64))).all()
+    assert not len(arrays.word_hashes(data[:0], start[:0], end[:0]))
+
+
+def test_long_texts_are_hashed_in_little_memory():
+    """A text's hashing takes memory for its words, not some 50 times its bytes."""
+    data, offsets = arrays.text_bytes(pa.array(["consectetur incididunt " * 350_000]))
+    start, end, _ = arrays.words(data, offsets)
+    arrays._powers.clear()
+    tracemalloc.start()
+    arrays.word_hashes(data, start, end)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10 * len(data)
