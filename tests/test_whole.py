@@ -48,3 +48,13 @@ def test_context_without_bounds(spark):
     with pytest.raises(ValueError, match="InvalidQuery"):
         context.run(context.ContextQuery("w", anchors, (context.Rule(max_nodes=None),), 100), b, e)
     assert set(b.columns) == {f.split()[0] for f in model.BLOCKS.split(", ")}
+
+
+@pytest.mark.parametrize("graph", ["trade", "parts"])
+def test_large_graphs_are_built_in_bounded_tasks(spark, sf, graph, monkeypatch):
+    """The plans of their own give the edges of the SQL, none twice, and no task of theirs gets more rows than it should, whatever Spark's partition number."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    found = tables.view(spark, sf, graph)
+    assert found.rdd.getNumPartitions() >= 6000 // 200
+    ours, sql = (sorted(map(tuple, x)) for x in (found.collect(), connect(sf).sql(tables.oracle(tables.GRAPHS[graph])).fetchall()))
+    assert ours == sql
