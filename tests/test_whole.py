@@ -58,3 +58,31 @@ def test_large_graphs_are_built_in_bounded_tasks(spark, sf, graph, monkeypatch):
     assert found.rdd.getNumPartitions() >= 6000 // 200
     ours, sql = (sorted(map(tuple, x)) for x in (found.collect(), connect(sf).sql(tables.oracle(tables.GRAPHS[graph])).fetchall()))
     assert ours == sql
+
+
+def test_depth_first_tree_is_whole(spark, grown):
+    folder = grown(10_500)
+    assert_same(queries.queries()["dfs_tree"](spark, folder), connect(folder), SQL["dfs_tree"])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_depth_first_order_of_all(spark, seed, monkeypatch):
+    """Trees, with names that are beginnings of each other, and graphs, whose moves are held whole or fetched in groups."""
+    rng = random.Random(seed)
+    names = ["", "a", "aa", "ab", "b", "z", "zz", "é", "￿", "\U0001f600", "\U0010ffff", "\U0010ffffa", *map(str, range(20))]
+    rng.shuffle(names)
+    tree = [(names[rng.randrange(k)], names[k]) for k in range(1, len(names))]
+    mixed = [(rng.choice(names), rng.choice(names)) for _ in range(70)]
+    for pairs, start in ((tree, names[0]), (mixed, mixed[0][0]), ([*tree, (names[3], names[0])], names[0])):
+        e = graph(spark, pairs)
+        for depth, limit, held in ((3, None, 200_000), (4, 9, 0)):
+            monkeypatch.setattr(traversal, "BROADCAST_ROWS", held)
+            got = traversal.dfs(e, start, depth=depth, limit=limit).orderBy("ord").collect()
+            assert [r.ord for r in got] == list(range(len(got))) and all(len(r.path) == r.depth + 1 and r.path[-1] == r.id for r in got)
+            assert [(r.id, r.depth) for r in got] == model_dfs(pairs, start, depth, limit or 1 << 30)
+
+
+def test_depth_first_is_not_cut_at_the_largest_limit(spark):
+    pairs = [("hub", f"n{k}") for k in range(10_300)] + [("n7", "n8")]
+    got = traversal.dfs(graph(spark, pairs), "hub", depth=2, limit=None)
+    assert got.count() == 10_301
