@@ -86,3 +86,11 @@ def test_depth_first_is_not_cut_at_the_largest_limit(spark):
     pairs = [("hub", f"n{k}") for k in range(10_300)] + [("n7", "n8")]
     got = traversal.dfs(graph(spark, pairs), "hub", depth=2, limit=None)
     assert got.count() == 10_301
+
+
+def test_ingest_files_reads_all_texts(spark, grown):
+    """More texts in one task than one file may hold, and those of nations."""
+    folder = grown(110_000)
+    found = queries.queries()["ingest_files"](spark, folder)
+    assert found.filter("kind = 'n.zig'").count() == 25
+    assert_same(found, connect(folder), SQL["ingest_files"])

@@ -91,7 +91,7 @@ def _ingestion() -> dict[str, str]:
     lines = "len(content) - len(replace(content, chr(10), '')) + 1"
     info = _with(None, "units", "i AS (SELECT id, source_uri AS uri, content AS preview, strlen(metadata_json)::BIGINT AS metadata_size FROM blocks)")
     return {
-        "ingest_files": f"SELECT CASE WHEN path LIKE 'src/customer/%' THEN 'c.zig' ELSE 'r.zig' END AS kind, content FROM ({t.oracle(t.FILES)}) WHERE path NOT LIKE 'src/nation/%'",
+        "ingest_files": f"SELECT CASE WHEN path LIKE 'src/customer/%' THEN 'c.zig' WHEN path LIKE 'src/nation/%' THEN 'n.zig' ELSE 'r.zig' END AS kind, content FROM ({t.oracle(t.FILES)})",
         "ingest_units": f"WITH {_UNITS_OF} SELECT path, unit, kind, parent, line_start::INT AS line_start, line_end::INT AS line_end, n_edges::INT AS n_edges FROM u",
         "ingest_blocks": f"WITH {_UNITS_OF} SELECT sha256('w' || chr(31) || path || ':' || unit || chr(31) || line_start)[1:32] AS id, concat('file://', path, '#L', line_start, '-', line_end) AS source_uri, path || ':' || unit AS unit_id, content FROM u",
         "ingest_edges": f"SELECT caller, edge_type, callee FROM {_EDGES_OF}",
