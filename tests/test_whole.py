@@ -94,3 +94,13 @@ def test_ingest_files_reads_all_texts(spark, grown):
     found = queries.queries()["ingest_files"](spark, folder)
     assert found.filter("kind = 'n.zig'").count() == 25
     assert_same(found, connect(folder), SQL["ingest_files"])
+
+
+def test_edges_ahead(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "a"), ("d", "e"), ("y", "z")]
+    e = graph(spark, pairs + pairs[:2])
+    assert sorted((r.src, r.dst) for r in traversal.ahead(e, "a").collect()) == sorted(p for p in pairs if p[0] not in "xy")
+    assert traversal.ahead(e, "nowhere").count() == 0
+    for name in ("breadth_first", "depth_first", "bidirectional", "topological", "strongly_connected"):
+        near, whole = ([r.id for r in traversal.traverse(x, "a", name, depth=3).orderBy("id").collect()] for x in (traversal.ahead(e, "a"), e))
+        assert near == whole
