@@ -60,6 +60,14 @@ def test_large_graphs_are_built_in_bounded_tasks(spark, sf, graph, monkeypatch):
     assert ours == sql
 
 
+def test_degrees_of_known_distinct_edges(spark, sf):
+    """They are read once, and only their ends are shuffled."""
+    e = tables.view(spark, sf, "trade").limit(500)
+    assert sorted(stats.degrees(e, distinct=True).collect()) == sorted(stats.degrees(e.unionByName(e)).collect())
+    e = spark.createDataFrame([("a", "b", "calls")], model.EDGES)
+    assert stats.degrees(e, distinct=True)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_depth_first_tree_is_whole(spark, grown):
     folder = grown(10_500)
     assert_same(queries.queries()["dfs_tree"](spark, folder), connect(folder), SQL["dfs_tree"])
