@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
-from test_traversal import graph, model_dfs
+from test_traversal import closure, graph, model_dfs
 
 from weftgraph import model
 from weftgraph.operators import context, stats, traversal
@@ -112,3 +112,42 @@ def test_edges_ahead(spark):
     for name in ("breadth_first", "depth_first", "bidirectional", "topological", "strongly_connected"):
         near, whole = ([r.id for r in traversal.traverse(x, "a", name, depth=3).orderBy("id").collect()] for x in (traversal.ahead(e, "a"), e))
         assert near == whole
+
+
+@pytest.mark.parametrize(("held", "nodes", "edges"), [(0, 20, 32), (10, 30, 300)])
+def test_strong_components_beyond_the_driver(spark, held, nodes, edges, monkeypatch):
+    """Sparse graphs by colouring, dense ones by their thin parts first."""
+    monkeypatch.setattr(traversal, "BROADCAST_ROWS", held)
+    rng = random.Random(edges)
+    pairs = [(str(rng.randrange(nodes)), str(rng.randrange(nodes))) for _ in range(edges)]
+    every, reach = closure(pairs)
+    want = {a: min([a, *(b for b in reach[a] if a in reach[b])]) for a in every}
+    assert {r.id: r.component for r in traversal.strongly_connected(graph(spark, pairs)).collect()} == want
+
+
+def test_strong_components_move_a_dense_graph_few_times(spark, monkeypatch):
+    """What is written of the moves is the moves themselves and thin parts of them, not the moves of every round."""
+    monkeypatch.setattr(traversal, "BROADCAST_ROWS", 100)
+    rows = []
+
+    def counted(df, name="step", f=traversal.table):
+        out = f(df, name)
+        rows.append(out.count() if name == "moves" else 0)
+        return out
+
+    monkeypatch.setattr(traversal, "table", counted)
+    rng = random.Random(4)
+    pairs = list({(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(2500)) if a != b})
+    found = traversal.strongly_connected(graph(spark, pairs))
+    assert found.select("component").distinct().count() == 1 and found.count() == 60
+    assert sum(rows) < 2 * len(pairs)
+
+
+def test_components_on_the_driver():
+    rng = random.Random(9)
+    for n in (3, 8, 20):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)]
+        every, reach = closure(pairs)
+        least = {a: min([a, *(b for b in reach[a] if a in reach[b])]) for a in every}
+        assert dict(traversal._tarjan(pairs)) == {a: r for a, r in least.items() if a != r}
+    assert traversal._tarjan([(k, (k + 1) % 5000) for k in range(5000)])[0][1] == 0
